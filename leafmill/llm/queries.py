@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p3", "p4", "p5", "p8", "p9"]
+MODULES = ["p3", "p4", "p5", "p8", "p9", "p10"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
