@@ -16,15 +16,25 @@ CELLS, SAMPLE = 1 << 15, 300
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_known: dict[str, list[int]] = {}
+
+
+def _of_word(w: str) -> list[int]:
+    got = _known.get(w)
+    if got is None:
+        if len(_known) > 200_000:
+            _known.clear()
+        x = f" {w.lower()} "
+        got = _known[w] = [] if len(w) > 1 and w.isupper() else [zlib.crc32(x[i : i + 3].encode()) % CELLS for i in range(len(x) - 2)]
+    return got
+
+
 def cells(text: str) -> np.ndarray:
     """Cells of the letter trigrams of the words of ``text``; codes in capitals are not words."""
-    got = []
-    for w in _WORD.findall(unicodedata.normalize("NFKC", text)):
-        if len(w) > 1 and w.isupper():
-            continue
-        w = f" {w.lower()} "
-        got += [w[i : i + 3] for i in range(len(w) - 2)]
-    return np.array([zlib.crc32(g.encode()) % CELLS for g in got], np.int64)
+    got: list[int] = []
+    for w in _WORD.findall(text if text.isascii() else unicodedata.normalize("NFKC", text)):
+        got += _of_word(w)
+    return np.array(got, np.int64)
 
 
 def sample(documents: DataFrame, per: int = SAMPLE) -> DataFrame:
