@@ -14,6 +14,7 @@ LANGS = ("en", "de", "fr", "es", "pt", "ru", "pl", "ja")
 #: Cells of the trigram table, and labelled documents taken per language (those of the smallest hashes of doc_id).
 CELLS, SAMPLE = 1 << 15, 300
 _WORD = re.compile(r"[^\W\d_]+")
+_JA = re.compile(r"[ぁ-ヿ一-鿿]")
 
 
 _known: dict[str, list[int]] = {}
@@ -68,9 +69,14 @@ def fit(documents: DataFrame, per: int = SAMPLE) -> np.ndarray:
 
 
 def score(table: np.ndarray, text: str) -> tuple[np.ndarray, int]:
-    """Mean log probability by language, and the number of trigrams."""
+    """Mean log probability by language, and the number of trigrams. A text without Japanese letters is not Japanese."""
     c = cells(text)
-    return (table[:, c].mean(axis=1) if len(c) else np.zeros(len(LANGS))), len(c)
+    if not len(c):
+        return np.zeros(len(LANGS)), 0
+    s = table[:, c].mean(axis=1)
+    if text.isascii() or not _JA.search(text):
+        s[LANGS.index("ja")] = -99.0
+    return s, len(c)
 
 
 def guess(table: np.ndarray, text: str, least: int = 12) -> str | None:
