@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p2", "p3", "p4", "p5", "p6", "p8", "p9", "p10"]
+MODULES = ["p1", "p2", "p3", "p4", "p5", "p6", "p8", "p9", "p10"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
