@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 from importlib import import_module
+from pathlib import Path
 
-MODULES = ["ledger"]
+MODULES = ["ledger", "report", "text", "ocr", "pages", "tables", "geometry", "pixels", "state", "quality"]
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def _gather(what: str) -> dict:
@@ -26,3 +30,20 @@ def queries() -> dict[str, Callable]:
 def sql() -> dict[str, str]:
     """SQL by name."""
     return _gather("SQL")
+
+
+def shipped(query: Callable) -> Callable:
+    """``query`` with the package's folder on the path of the Python workers.
+
+    On a cluster whose executors do not see that folder the package has to be installed there, as any library.
+    """
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(ROOT) not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([str(ROOT), *paths])
+        return query(spark, sf_dir)
+
+    return run
