@@ -76,6 +76,19 @@ def variants(word: str, rules: list[tuple[str, list[str]]] = _FROM) -> set[str]:
     return out
 
 
+# Letters and groups that are mistaken for one another have one fold.
+_CLASS = str.maketrans("c€3|!1ljft70$5@48h6q9yuиz", "eeeiiiiiiiiossaabbbggvnн2")
+_GROUP = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("ei", "d"), ("ii", "n"), ("nn", "m"), ("in", "m"), ("л", "п"), ("з", "e"))
+
+
+def fold(word: str) -> str:
+    """What a word and its misreadings share."""
+    word = word.translate(_CLASS)
+    for got, was in _GROUP:
+        word = word.replace(got, was)
+    return word
+
+
 class Reader:
     """Which words are known, and which are misread; answers are remembered.
 
@@ -88,6 +101,10 @@ class Reader:
     def __init__(self, counts: dict[str, int], marks: bool = False, keep: int = 300_000):
         self.counts, self.keep, self.rules = counts, keep, _FROM + (_MARKS if marks else [])
         self.memo: dict[str, object] = {}
+        self.folded: dict[str, list[str]] = {}
+        for w in counts:
+            if len(w) >= 5 and w.replace("-", "").replace("’", "").isalpha():
+                self.folded.setdefault(fold(w), []).append(w)
 
     def _judge(self, token: str) -> object:
         """True for a known word, a string for the word that was misread, None for what is no word or unknown."""
@@ -109,11 +126,11 @@ class Reader:
             if k > best and v != w and v.replace("-", "").replace("’", "").isalpha():
                 found, best = v, k
         if found is None and not n and len(w) >= 5:
-            for v in one:
-                for x in variants(v):
-                    k = self.counts.get(x, 0)
-                    if k > best and x != w and x.replace("-", "").replace("’", "").isalpha():
-                        found, best = x, k
+            # several misreadings in one word: words of the same fold
+            for v in self.folded.get(fold(w), ()):
+                k = self.counts[v]
+                if k > best:
+                    found, best = v, k
         if found:
             return found
         return True if n else None
