@@ -1,0 +1,27 @@
+import pytest
+
+from leafmill.llm import p2
+
+DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
+ITEMS = ["vanne de sortie", "pompe de secours", "joint du carter", "ressort de rappel", "filtre à huile", "moteur principal", "capteur de pression", "courroie de transmission"]
+LIST = "\n".join(f"- {x} pour la machine numéro {i}" for i, x in enumerate(ITEMS * 2))
+OCR = "ocr_id long, doc_id long, page_num int, text string"
+BLOCKS = "tb_id long, doc_id long, page_num int, text string"
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    def write(ocr, blocks):
+        spark.read.parquet(DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(ocr, OCR).write.parquet(f"{tmp_path}/ocr_results.parquet")
+        spark.createDataFrame(blocks, BLOCKS).write.parquet(f"{tmp_path}/text_blocks.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_found_does_not_depend_on_other_pages(spark, folder):
+    # the only page of its language, and a language that holds nothing but lists
+    assert len(LIST) >= p2.LEAST
+    got = p2.p2_found(spark, folder([(1, 1, 0, LIST)], [(i, i, 0, LIST) for i in range(2, 6)])).collect()
+    assert {(r.src_table, r.rec_id, r.kind) for r in got} == {("ocr_results", 1, "list")} | {("text_blocks", i, "list") for i in range(2, 6)}
