@@ -25,3 +25,23 @@ def test_found_does_not_depend_on_other_pages(spark, folder):
     assert len(LIST) >= p2.LEAST
     got = p2.p2_found(spark, folder([(1, 1, 0, LIST)], [(i, i, 0, LIST) for i in range(2, 6)])).collect()
     assert {(r.src_table, r.rec_id, r.kind) for r in got} == {("ocr_results", 1, "list")} | {("text_blocks", i, "list") for i in range(2, 6)}
+
+
+def test_stats_of_every_page(spark, folder):
+    short = "Das Ventil ist geschlossen.\nDie Pumpe läuft."
+    ocr = [(1, 1, 0, short), (2, 1, 1, None), (3, 1, 2, ""), (4, 1, 3, "A short page."), (5, 1, 4, LIST), (5, 1, 4, LIST)]
+    blocks = [
+        (11, 2, 0, short),  # line break
+        (12, 2, 1, "the only row of its page"), (12, 2, 1, "the only row of its page"),
+        (13, 2, 2, None),
+        (14, 2, 3, "one line"), (15, 2, 3, "of a page"),
+        (16, None, None, "on no page"), (17, 3, 0, LIST),
+    ]
+    d = folder(ocr, blocks)
+    got = {(r.src_table, r.rec_id): r for r in p2.p2_stats(spark, d).collect()}
+    assert set(got) == {("ocr_results", i) for i in (1, 2, 3, 4, 5)} | {("text_blocks", i) for i in (11, 12, 13, 17)}
+    for key in (("ocr_results", 2), ("ocr_results", 3), ("text_blocks", 13)):
+        r = got[key]
+        assert (r.words, r.mean_word, r.symbols, r.digits, r.ends, r.common, r.per_line) == (0.0,) * 7 and r.kind is None and r.lang is None
+    assert got["ocr_results", 1].kind is None and got["ocr_results", 1].score is not None
+    assert {(r.src_table, r.rec_id) for r in p2.p2_found(spark, d).collect()} == {("ocr_results", 5), ("text_blocks", 17)}
