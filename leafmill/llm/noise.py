@@ -89,6 +89,16 @@ def fold(word: str) -> str:
     return word
 
 
+# A mapping of letters under which both sides of every rule are equal, lost accents included.  As m stands for nn as well as
+# for rn and in, nothing can be left of the narrow letters and what is made of them.
+_WIDE = str.maketrans({c: None for c in "il1|!jt7frnumhb68üúíî"} | dict(zip("c€3зdq9y0öóô5$@4äáàâéèê2инлп", "eeeeeggvoooossaaaaaaeeezиилл", strict=True)) | {"w": "vv"})
+
+
+def wide(word: str) -> str:
+    """What a word and all words within any number of misreadings share."""
+    return word.translate(_WIDE)
+
+
 class Reader:
     """Which words are known, and which are misread; answers are remembered.
 
@@ -100,11 +110,15 @@ class Reader:
 
     def __init__(self, counts: dict[str, int], marks: bool = False, keep: int = 300_000):
         self.counts, self.keep, self.rules = counts, keep, _FROM + (_MARKS if marks else [])
+        self.back = [(was, [got]) for got, all_ in self.rules for was in all_]
         self.memo: dict[str, object] = {}
         self.folded: dict[str, list[str]] = {}
-        for w in counts:
-            if len(w) >= 5 and w.replace("-", "").replace("’", "").isalpha():
-                self.folded.setdefault(fold(w), []).append(w)
+        self.widely: dict[str, list[str]] = {}
+        for w in sorted(counts, key=counts.get, reverse=True):
+            if w.replace("-", "").replace("’", "").isalpha():
+                self.widely.setdefault(wide(w), []).append(w)
+                if len(w) >= 5:
+                    self.folded.setdefault(fold(w), []).append(w)
 
     def _judge(self, token: str) -> object:
         """True for a known word, a string for the word that was misread, None for what is no word or unknown."""
@@ -131,6 +145,13 @@ class Reader:
                 k = self.counts[v]
                 if k > best:
                     found, best = v, k
+            # the fold does not cover every pair of rules: words that two misreadings turn into this one
+            for v in self.widely.get(wide(w), ()):
+                if self.counts[v] <= best:
+                    break
+                if -2 <= len(v) - len(w) <= 2 and not one.isdisjoint(variants(v, self.back)):
+                    found = v
+                    break
         if found:
             return found
         return True if n else None

@@ -1,0 +1,44 @@
+import random
+import re
+
+import pytest
+
+from leafmill.llm import noise
+
+WORDS = "behälter übersicht página hatch schließen número température fenêtre español bearing lubricant valve mounting housing winding connector filter assembly machine minimum running button diagram kurz hebel gehäuse módulo llave".split()
+COUNTS = {w: 10 + i for i, w in enumerate(WORDS)}
+
+
+def two_steps(word, rules):
+    """The words that one misreading by ``rules`` after one of noise._FROM turns into ``word``."""
+    return {x for v in noise.variants(word, rules) for x in noise.variants(v)}
+
+
+@pytest.mark.parametrize("got, was", [("ubersicbt", "übersicht"), ("bebalter", "behälter"), ("paqina", "página"), ("liatcb", "hatch")])
+def test_two_misreadings(got, was):
+    assert noise.Reader(COUNTS, marks=True).judge(got) == was
+
+
+def test_both_sides_of_every_rule_are_widely_equal():
+    for got, all_ in noise._FROM + noise._MARKS:
+        for was in all_:
+            assert noise.wide(got) == noise.wide(was), (got, was)
+
+
+@pytest.mark.parametrize("marks", [False, True])
+def test_all_of_the_two_step_search_is_found(marks):
+    rng, reader = random.Random(7), noise.Reader(COUNTS, marks=marks)
+    back = [(w, [g]) for g, all_ in noise._FROM for w in all_]
+    first = back + ([(w, [g]) for g, all_ in noise._MARKS for w in all_] if marks else [])
+    tried = 0
+    for was in WORDS:
+        once = sorted(noise.variants(was, back))
+        for v in rng.sample(once, min(12, len(once))):
+            twice = sorted(noise.variants(v, first))
+            for got in rng.sample(twice, min(12, len(twice))):
+                letters = sum(c.isalpha() for c in got)
+                if got in COUNTS or len(got) < 5 or noise.plain(got) != got or 2 * letters < len(got) or re.fullmatch(r"[a-z]{1,4}-?\d{2,}", got) or was not in two_steps(got, reader.rules):
+                    continue
+                tried += 1
+                assert isinstance(reader.judge(got), str), (got, was)
+    assert tried > 500
