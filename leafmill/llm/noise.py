@@ -277,16 +277,17 @@ def header_score(line: str, before: str | None, after: str | None, apart: bool |
 STAY, LEAVE = 0.5, -0.5
 
 
-def label(lines: list[str], page_num: int | None, apart: list[bool] | None = None) -> dict[int, str]:
+def label(lines: list[str], page_num: int | None, apart: list[bool] | None = None, top: bool = True, bottom: bool = True) -> dict[int, str]:
     """'header' and 'pageno' lines among the first and last EDGE non-empty lines of a page, by index; all others are body or break.
 
+    top, bottom: whether the page begins with the first line and ends with the last; only true ends are labelled.
     Running lines form a stretch from either end; Viterbi over each end finds the best stretch, body within.
     """
     full = [i for i, x in enumerate(lines) if x and not x.isspace()]
     out: dict[int, str] = {}
     if not full:
         return out
-    ends = (full[:EDGE], full[-EDGE:][::-1])
+    ends = (full[:EDGE] if top else [], full[-EDGE:][::-1] if bottom else [])
     for end in ends:
         stay, leave, back = 0.0, float("-inf"), []
         for i in end:

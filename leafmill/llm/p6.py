@@ -10,7 +10,7 @@ from leafmill.llm import noise, vocab
 from leafmill.session import cut, table
 
 _OUT = "src_table string, doc_id long, page_num int, rec_id long, noise string, key string"
-#: Lines of a page that are held at once; of a longer page the ends are labelled and the middle streams through.
+#: Lines of a page that are held at once; a longer page streams through, its last lines carried over from one stretch to the next.
 HELD = 20_000
 
 
@@ -26,14 +26,23 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.unionAll(c).where("text is not null and rec_id is not null")
 
 
-def _page(src, doc, page, recs, lines, apart, broken, reader, out):
-    """Appends the noise of one page. recs: the record of each line; apart: own block, None where a record is a page; broken: the lines that end a paragraph before the next."""
-    for i, what in noise.label(lines, page, apart).items():
+def _seam(lines: list[str]) -> int:
+    """Where a stretch of a long page can end: both parts have the lines by which the ends of a page are labelled. 0 for nowhere."""
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    return full[-noise.EDGE - 1] if len(full) > 2 * noise.EDGE + 2 else 0
+
+
+def _page(src, doc, page, recs, lines, apart, broken, reader, out, start=0, stop=None, top=True, bottom=True, skip=False):
+    """Appends the noise of one page, or of its lines from start to stop. recs: the record of each line; apart: own block, None where a record is a page; broken: the lines that end a paragraph before the next.
+
+    skip: whether the line before start ends in the first half of a word; the same of the last line is returned.
+    """
+    for i, what in noise.label(lines, page, apart, top, bottom).items():
         out.append((src, doc, page, recs[i], what, noise.running_key(lines[i], page) if what == "header" else None))
     tally: dict = {}
-    skip = False
     last = len(lines) - 1
-    for i, x in enumerate(lines):
+    for i in range(start, len(lines) if stop is None else stop):
+        x = lines[i]
         split = i < last and not broken[i] and x[-1:] in "-‐‑­¬=~⸗⁃ \t" and reader.splits(x, lines[i + 1])
         if split:
             out.append((src, doc, page, recs[i], "hyphen", None))
@@ -44,6 +53,7 @@ def _page(src, doc, page, recs, lines, apart, broken, reader, out):
     for rec, (k, b, u) in tally.items():
         if b and k + b >= u and (k or b == 1):
             out.append((src, doc, page, rec, "misread", None))
+    return skip
 
 
 def _batch(rows):
@@ -52,6 +62,52 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
+def _rows(held, reader, out, start, stop, top, skip):
+    """Appends the noise of the lines of a page, or of a stretch of it, from start to stop; see ``_page``."""
+    if not held:
+        return False
+    doc, page = held[0][:2]
+    if top and stop is None and len(held) < 3 and any("\n" in r[5] for r in held):
+        for r in held:
+            lines = r[5].replace("\r\n", "\n").split("\n")
+            _page("text_blocks", doc, page, [r[4]] * len(lines), lines, None, [False] * len(lines), reader, out)
+        return False
+    of = [r[3] for r in held]
+    n = len(of)
+    apart = [(i == 0 or of[i - 1] != of[i]) and (i == n - 1 or of[i + 1] != of[i]) for i in range(n)]
+    broken = [i == n - 1 or of[i + 1] != of[i] for i in range(n)]
+    return _page("text_blocks", doc, page, [r[4] for r in held], [r[5] for r in held], apart, broken, reader, out, start, stop, top, stop is None, skip)
+
+
+def _stream(batches, reader, most_held=HELD):
+    """The noise of text_blocks sorted by page and line, at most about most_held lines of a page held at once."""
+    held: list = []
+    now = None
+    # of the page at hand: lines of held that are done, whether its first line is in held, split word before, length at which to look for a seam
+    fresh = (0, True, False, most_held)
+    done, top, skip, most = fresh
+    for b in batches:
+        out: list = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:2] != now:
+                _rows(held, reader, out, done, None, top, skip)
+                held, now = [], row[:2]
+                done, top, skip, most = fresh
+            elif len(held) >= most:
+                if at := _seam([r[5] for r in held]):
+                    skip = _rows(held, reader, out, done, at, top, skip)
+                    # the line before the seam stays to be looked back at
+                    held, done, top, most = held[at - 1 :], 1, False, most_held
+                else:
+                    most += most_held
+            if not held or held[-1][4] != row[4]:
+                held.append(row)
+        yield _batch(out)
+    out = []
+    _rows(held, reader, out, done, None, top, skip)
+    yield _batch(out)
+
+
 def marks(spark: SparkSession, sf_dir: str, counts) -> DataFrame:
     """All noise of all records, header lines still as candidates with their key."""
 
@@ -65,36 +121,7 @@ def marks(spark: SparkSession, sf_dir: str, counts) -> DataFrame:
             yield _batch(out)
 
     def run_blocks(batches):
-        reader = noise.Reader(counts.value)
-        held: list = []
-        now = None
-        for b in batches:
-            out: list = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:2] != now or len(held) >= HELD:
-                    _rows(held, reader, out)
-                    held, now = [], row[:2]
-                if not held or held[-1][4] != row[4]:
-                    held.append(row)
-            yield _batch(out)
-        out = []
-        _rows(held, reader, out)
-        yield _batch(out)
-
-    def _rows(held, reader, out):
-        if not held:
-            return
-        doc, page = held[0][:2]
-        if len(held) < 3 and any("\n" in r[5] for r in held):
-            for r in held:
-                lines = r[5].replace("\r\n", "\n").split("\n")
-                _page("text_blocks", doc, page, [r[4]] * len(lines), lines, None, [False] * len(lines), reader, out)
-            return
-        of = [r[3] for r in held]
-        n = len(of)
-        apart = [(i == 0 or of[i - 1] != of[i]) and (i == n - 1 or of[i + 1] != of[i]) for i in range(n)]
-        broken = [i == n - 1 or of[i + 1] != of[i] for i in range(n)]
-        _page("text_blocks", doc, page, [r[4] for r in held], [r[5] for r in held], apart, broken, reader, out)
+        yield from _stream(batches, noise.Reader(counts.value))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks(spark, sf_dir).repartition(parts, "doc_id", "page_num").sortWithinPartitions("doc_id", "page_num", "span_ord", "rec_id")

@@ -1,9 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from leafmill.llm import noise
+from leafmill.llm import noise, p6
 
 WORDS = "behälter übersicht página hatch schließen número température fenêtre español bearing lubricant valve mounting housing winding connector filter assembly machine minimum running button diagram kurz hebel gehäuse módulo llave".split()
 COUNTS = {w: 10 + i for i, w in enumerate(WORDS)}
@@ -42,3 +43,54 @@ def test_all_of_the_two_step_search_is_found(marks):
                 tried += 1
                 assert isinstance(reader.judge(got), str), (got, was)
     assert tried > 500
+
+
+BLOCKS = "tb_id long, doc_id long, page_num int, span_ord int, block_id int, text string"
+OCR = "ocr_id long, doc_id long, page_num int, text string"
+CORRECTED = "ct_id long, doc_id long, page_num int, raw_ocr string"
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    def write(blocks, ocr=(), corrected=()):
+        for name, rows, schema in (("text_blocks", blocks, BLOCKS), ("ocr_results", ocr, OCR), ("corrected_texts", corrected, CORRECTED)):
+            spark.createDataFrame(list(rows), schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+COUNTED = {"assembly": 50, "the": 90, "bearing": 40, "housing": 40, "machine": 40, "winding": 40, "and": 50, "of": 80}
+
+
+def _hot_page(lines):
+    """One long page: every fifth line is short and has a block of its own, every fifth ends in a split word."""
+    rows = [(1, 5, 0, 0, 0, "OPERATING MANUAL")]
+    for i in range(1, lines):
+        text = "Spare Parts" if i % 5 == 0 else "the bearing is in the assem-" if i % 5 == 1 else "bly of the machine housing and winding"
+        rows.append((1 + i, 5, 0, i, i if i % 5 == 0 else 1_000_000 + i // 5, text))
+    return rows + [(1 + lines, 5, 0, lines, 2_000_000, "- 1 -")]
+
+
+def test_a_page_longer_than_what_is_held(spark, folder):
+    # lines 20,001 and 40,001 are those at which stretches of 20,000 begin
+    lines = 40_003
+    counts = spark.sparkContext.broadcast(COUNTED)
+    got = [(r.rec_id, r.noise) for r in p6.marks(spark, folder(_hot_page(lines)), counts).collect()]
+    assert {i for i, what in got if what in ("header", "pageno")} <= {1, 2, lines, lines + 1}
+    assert (1, "header") in got and (lines + 1, "pageno") in got
+    assert sorted(i for i, what in got if what == "hyphen") == [1 + i for i in range(1, lines) if i % 5 == 1 and i + 1 < lines]
+
+
+@pytest.mark.parametrize("held", [*range(7, 25), 61])
+def test_noise_does_not_depend_on_stretches(held):
+    rows = _hot_page(60)
+    for i in (3, 17, 18, 33, 59):
+        rows[i] = (*rows[i][:5], "\u00a0")
+    rows = [(r[1], r[2], r[3], r[4], r[0], r[5]) for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["doc_id", "page_num", "span_ord", "block_id", "rec_id", "text"])
+
+    def run(most):
+        return sorted((tuple(r.values()) for b in p6._stream([batch], noise.Reader(COUNTED), most) for r in b.to_pylist()), key=str)
+
+    assert run(held) == run(1000)
