@@ -24,6 +24,7 @@ _WORDS = "page pages pag pág página pagina p pg seite s strona str стр ст
 _OF = "of von de z из sur av af".split()
 _PAGENO = re.compile(rf"^[\W_]*(?:(?:{'|'.join(_WORDS)})\b\.?)?[\W_]*(\d+|[ivxlcdm]+)[\W_]*?(?:(?:/|\b(?:{'|'.join(_OF)})\b)\W*\d+)?[\W_]*$", re.I)
 _SPLIT = re.compile(r"([^\W\d_]+)([-‐‑­¬=~⸗⁃]|‐)[ \t]*$")
+_MARK = frozenset("-‐‑­¬=~⸗⁃")
 _LEAD = re.compile(r"\s*([^\W\d_]+)")
 
 
@@ -311,26 +312,29 @@ def label(lines: list[str], page_num: int | None, apart: list[bool] | None = Non
 def paragraphs(lines: list[str], drop: set[int], reader: Reader | None = None) -> str:
     """Continuous paragraphs of a page: running lines dropped, split words joined, misread words mended, line breaks inside a paragraph removed."""
     kept = [x.rstrip() for i, x in enumerate(lines) if i not in drop]
-    out: list[str] = []
-    fresh = True
+    # the pieces of each paragraph are put together once, and its kind is that of its first line, so time grows with the lines
+    out: list[list[str]] = []
+    fresh, before = True, 0
     for i, x in enumerate(kept):
         if not x.strip():
             fresh = True
             continue
         kind = shape(x)
-        if reader is not None:
+        if reader is not None and not all(reader.judge(t) in (True, None) for t in x.split()):
             x = re.sub(r"\S+", lambda m: _mend(m.group(), reader), x)
-        last = out[-1] if out else ""
-        if out and not fresh and not kind and not shape(last) and reader is not None and reader.splits(kept[i - 1], x):
-            out[-1] = _SPLIT.sub(r"\1", last) + x.lstrip()
-        elif out and not fresh and not kind and not shape(last):
-            out[-1] = f"{last} {x.strip()}"
+        if out and not fresh and not kind and not before:
+            if reader is not None and kept[i - 1][-1:] in _MARK and reader.splits(kept[i - 1], x):
+                out[-1][-1] = _SPLIT.sub(r"\1", out[-1][-1])
+                out[-1].append(x.lstrip())
+            else:
+                out[-1].append(f" {x.strip()}")
         else:
-            if out and (fresh or bool(kind) != bool(shape(last))):
-                out.append("")
-            out.append(x.strip() if not kind else x)
+            if out and (fresh or bool(kind) != bool(before)):
+                out.append([""])
+            out.append([x.strip() if not kind else x])
+            before = shape(out[-1][0])
         fresh = False
-    return "\n".join(out)
+    return "\n".join("".join(x) for x in out)
 
 
 def _mend(token: str, reader: Reader) -> str:

@@ -151,29 +151,84 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy(spark, sf_dir).select("src_table", "rec_id", "noise").distinct()
 
 
+def _clean_page(text, page, keys, reader):
+    """The paragraphs of a text that is a whole page; keys: those of its running lines."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    drop = {i for i, what in noise.label(lines, page).items() if what == "pageno" or (keys and noise.running_key(lines[i], page) in keys)}
+    return noise.paragraphs(lines, drop, reader)
+
+
+def _clean_blocks(batches, reader, most_held=HELD):
+    """The paragraphs of text_blocks sorted by page and line, each under its first record.
+
+    Of a block of more than most_held lines every so many lines are a row of their own, never ended inside a split word.
+    """
+    held: list = []
+    now = before = None
+    for b in batches:
+        out: list = []
+        for doc, page, _, block, rec, text, keys, pageno in zip(*(c.to_pylist() for c in b.columns)):
+            if rec == before:
+                continue
+            before = rec
+            if "\n" in text:
+                _paragraph(held, reader, out)
+                held, now = [], None
+                out.append((rec, _clean_page(text, page, keys, reader)))
+                continue
+            if pageno or keys:
+                continue
+            if (doc, page, block) != now or len(held) >= most_held and not reader.splits(held[-1][1], text):
+                _paragraph(held, reader, out)
+                held, now = [], (doc, page, block)
+            held.append((rec, text))
+        yield _cleaned("text_blocks", out)
+    out = []
+    _paragraph(held, reader, out)
+    yield _cleaned("text_blocks", out)
+
+
+def _paragraph(held, reader, out):
+    if held and (clean := noise.paragraphs([x for _, x in held], set(), reader)):
+        out.append((held[0][0], clean))
+
+
+def _cleaned(src, rows):
+    kinds = (pa.string(), pa.int64(), pa.string())
+    cols = [[src] * len(rows), [r[0] for r in rows], [r[1] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["src_table", "rec_id", "clean"])
+
+
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_table, rec_id, clean: the pages of ocr_results and corrected_texts as continuous paragraphs.
+    """src_table, rec_id, clean: the pages of ocr_results and corrected_texts, and the paragraphs of text_blocks, as continuous paragraphs.
 
-    Lines that run through the document and page numbers are dropped, split words joined, misread words mended.
+    Lines that run through the document and page numbers are dropped, split words joined, misread words mended.  A row of
+    text_blocks that holds a whole page stays one; elsewhere the rows of a block are a paragraph, listed under its first row.
     """
     counts = spark.sparkContext.broadcast(words(spark, sf_dir))
-    found = cut(marks(spark, sf_dir, counts).where("noise in ('header', 'pageno') and src_table <> 'text_blocks'"))
+    found = cut(marks(spark, sf_dir, counts).where("noise in ('header', 'pageno')"))
     heads = found.where("noise = 'header' and doc_id is not null and page_num is not null")
     often = heads.select("src_table", "doc_id", "key", "page_num").distinct().groupBy("src_table", "doc_id", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= noise.PAGES)
-    keys = heads.join(often.drop("pages"), ["src_table", "doc_id", "key"]).groupBy("src_table", "rec_id").agg(F.collect_set("key").alias("keys"))
-    pages = whole(spark, sf_dir).dropDuplicates(["src_table", "rec_id"]).join(keys, ["src_table", "rec_id"], "left").select("src_table", "rec_id", "page_num", "text", "keys")
+    running = heads.join(often.drop("pages"), ["src_table", "doc_id", "key"]).select("src_table", "rec_id", "key", F.lit(False).alias("pageno"))
+    numbers = found.where("noise = 'pageno'").select("src_table", "rec_id", F.lit(None).cast("string").alias("key"), F.lit(True).alias("pageno"))
+    drop = running.unionAll(numbers).groupBy("src_table", "rec_id").agg(F.collect_set("key").alias("keys"), F.max("pageno").alias("pageno"))
+    pages = whole(spark, sf_dir).dropDuplicates(["src_table", "rec_id"]).join(drop, ["src_table", "rec_id"], "left").select("src_table", "rec_id", "page_num", "text", "keys")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_blocks = drop.where("src_table = 'text_blocks'").drop("src_table")
+    lines = blocks(spark, sf_dir).join(of_blocks, "rec_id", "left").select("doc_id", "page_num", "span_ord", "block_id", "rec_id", "text", "keys", "pageno")
+    lines = lines.repartition(parts, "doc_id", "page_num").sortWithinPartitions("doc_id", "page_num", "span_ord", "rec_id")
 
     def run(batches):
         reader = noise.Reader(counts.value, marks=True)
         for b in batches:
-            out = []
-            for _, _, page, text, ks in zip(*(c.to_pylist() for c in b.columns)):
-                lines = text.replace("\r\n", "\n").split("\n")
-                drop = {i for i, what in noise.label(lines, page).items() if what == "pageno" or (ks and noise.running_key(lines[i], page) in ks)}
-                out.append(noise.paragraphs(lines, drop, reader))
+            out = [_clean_page(text, page, ks, reader) for _, _, page, text, ks in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["src_table", "rec_id", "clean"])
 
-    return pages.mapInArrow(run, "src_table string, rec_id long, clean string")
+    def run_blocks(batches):
+        yield from _clean_blocks(batches, noise.Reader(counts.value))
+
+    schema = "src_table string, rec_id long, clean string"
+    return pages.mapInArrow(run, schema).unionAll(lines.mapInArrow(run_blocks, schema))
 
 
 QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean}

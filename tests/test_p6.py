@@ -94,3 +94,35 @@ def test_noise_does_not_depend_on_stretches(held):
         return sorted((tuple(r.values()) for b in p6._stream([batch], noise.Reader(COUNTED), most) for r in b.to_pylist()), key=str)
 
     assert run(held) == run(1000)
+
+
+def test_clean_paragraphs_of_text_blocks(spark, folder):
+    blocks = []
+    for page in range(3):
+        at = 10 * page
+        blocks += [
+            (at, 7, page, 0, 0, "OPERATING MANUAL"),
+            (at + 1, 7, page, 1, 1, "the bearing is in the assem-"),
+            (at + 2, 7, page, 2, 1, "bly of the machine"),
+            (at + 3, 7, page, 3, 2, "the housing of the winding"),
+            (at + 3, 7, page, 3, 2, "the housing of the winding"),
+            (at + 4, 7, page, 4, 2, "and of the rnachine." if page == 1 else "and of the machine."),
+            (at + 5, 7, page, 5, 3, f"- {page + 1} -"),
+        ]
+    blocks += [(90, 8, 0, 0, 0, "the machine of\nthe assem-\nbly"), (91, 8, 1, 0, 0, None)]
+    blocks += [(100 + i, 9, 0, i, i // 2, "the assembly and the machine") for i in range(6)]
+    got = sorted((r.src_table, r.rec_id, r.clean) for r in p6.p6_clean(spark, folder(blocks, [(1, 1, 0, "the machine")])).collect())
+    want = [("ocr_results", 1, "the machine"), ("text_blocks", 90, "the machine of the assembly")]
+    for at in (0, 10, 20):
+        want += [("text_blocks", at + 1, "the bearing is in the assembly of the machine"), ("text_blocks", at + 3, "the housing of the winding and of the machine.")]
+    want += [("text_blocks", 100 + i, "the assembly and the machine the assembly and the machine") for i in (0, 2, 4)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("held", [1, 2, 3])
+def test_a_long_block_is_not_ended_inside_a_word(held):
+    texts = ["the bearing of the assem-", "bly and the", "winding of the assem-", "bly"]
+    cols = [[1] * 4, [0] * 4, [0, 1, 2, 3], [0] * 4, [1, 2, 3, 4], texts, [None] * 4, [None] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcdefgh"))
+    got = [r["clean"] for b in p6._clean_blocks([batch], noise.Reader(COUNTED), held) for r in b.to_pylist()]
+    assert " ".join(got) == "the bearing of the assembly and the winding of the assembly"
