@@ -45,37 +45,60 @@ def limits(rows: DataFrame) -> DataFrame:
     return spike.groupBy("src_table", "source").agg(F.max(F.when(F.col("unit") == "chars", F.col("top"))).alias("chars_limit"), F.max(F.when(F.col("unit") == "bytes", F.col("top"))).alias("bytes_limit"))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts with at_limit (their length is a limit of their source) and cut.
+def _end_of(label):
+    """The last word of a label without case; of a code its pattern."""
+    word = F.regexp_extract(label, r"(\S+)\s*$", 1)
+    return F.when(word.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(word, "[A-Z]", "A"), "[0-9]", "0")).otherwise(F.lower(word))
 
-    A text at a limit is cut if it has no end of its own; elsewhere a broken transfer leaves a sentence or JSON value
-    open.  Empty answers, refusals and prompts given back are not cut; a list of labels is, only where it meets a limit
-    after a blank or separator, since its last label may be whole.
+
+def with_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``texts`` with at_limit (their length is a limit of their source) and list_cut (a list of labels that a limit cut).
+
+    A list at a limit is cut if it ends after a blank or separator, or in a word that ends no label known to be whole:
+    all labels but the last of a list at a limit are.
     """
     rows = texts(spark, sf_dir)
     rows = rows.join(limits(rows), ["src_table", "source"], "left")
     size = F.octet_length(F.regexp_replace("text", "�+$", ""))
     broken = F.col("text").endswith("�")
     rows = rows.withColumn("at_limit", F.coalesce(F.length("text") == F.col("chars_limit"), F.lit(False)) | F.coalesce((size == F.col("bytes_limit")) | (broken & (size >= F.col("bytes_limit") - 3)), F.lit(False)))
+    lists = rows.where("task = 'labels'").select("src_table", "rec_key", "at_limit", F.split(F.regexp_replace("text", r"[\s\p{Cf}]+$", ""), r"[;,|\r\n]").alias("labels"))
+    one = lists.select("at_limit", F.size("labels").alias("n"), F.posexplode("labels").alias("i", "label"))
+    known = one.where(~(F.col("at_limit") & (F.col("i") == F.col("n") - 1))).select(_end_of(F.col("label")).alias("end")).where("end <> ''").distinct()
+    last = lists.where("at_limit").select("src_table", "rec_key", _end_of(F.element_at("labels", -1)).alias("end"))
+    inside = last.join(known, "end", "left_anti").select("src_table", "rec_key", F.lit(True).alias("inside"))
+    after = F.col("text").rlike(r"[;,-][\s\p{Cf}]*$|\s$")
+    rows = rows.join(inside, ["src_table", "rec_key"], "left")
+    return rows.withColumn("list_cut", F.coalesce((F.col("task") == "labels") & F.col("at_limit") & (after | F.coalesce("inside", F.lit(False))), F.lit(False))).drop("inside")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with at_limit (their length is a limit of their source) and cut.
+
+    A text at a limit is cut if it has no end of its own; elsewhere a broken transfer leaves a sentence or JSON value
+    open.  Empty answers, refusals and prompts given back are not cut; a list of labels, which needs no end, is only
+    where it meets a limit (see ``with_limits``), or ends inside a character.
+    """
+    rows = with_limits(spark, sf_dir)
 
     @F.pandas_udf("boolean")
-    def cut_(text, task, prompt, at_limit, diagram):
+    def cut_(text, task, prompt, list_cut, diagram):
         import pandas as pd
 
-        def one(t, k, q, lim, d):
+        def one(t, k, q, listed, d):
             if answers.is_empty(t) or answers.is_refusal(t) or answers.is_copy(t, q if isinstance(q, str) else d):
                 return False
             if t.endswith("�"):
                 return True
             if k == "labels":
-                return bool(lim) and answers.bare(t)[-1:] in ";,-" or (bool(lim) and t != t.rstrip())
+                return bool(listed)
             return answers.unfinished(t)
 
-        return pd.Series([one(*x) for x in zip(text, task, prompt, at_limit, diagram)], dtype=bool)
+        return pd.Series([one(*x) for x in zip(text, task, prompt, list_cut, diagram)], dtype=bool)
 
     diagram = table(spark, sf_dir, "prompts").where("task = 'diagram'").agg(F.max("prompt_text").alias("diagram_prompt"))
     rows = rows.withColumn("diagram_prompt", F.lit(diagram.first()[0]).cast("string"))
-    return rows.withColumn("cut", cut_("text", "task", "prompt_text", "at_limit", F.when(F.col("src_table") == "diagram_analyses", F.col("diagram_prompt"))))
+    return rows.withColumn("cut", cut_("text", "task", "prompt_text", "list_cut", F.when(F.col("src_table") == "diagram_analyses", F.col("diagram_prompt"))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

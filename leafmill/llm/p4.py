@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import answers, langid
+from leafmill.llm import answers, langid, p3
 from leafmill.session import table
 
 #: Mean log probability by which another language must beat the one asked for, and the fewest trigrams to tell.
@@ -46,8 +46,8 @@ def _off_language(lm, text: str, want: str | None) -> bool:
     return n >= TRIGRAMS and float(s.max() - s[langid.LANGS.index(want)]) > MARGIN
 
 
-def defect(answer: str | None, prompts: list[str], lang: str | None, task: str | None, page: str | None, lm) -> str | None:
-    """The one defect of an answer, or None: empty, copy, refusal, truncated or language, in this order."""
+def defect(answer: str | None, prompts: list[str], lang: str | None, task: str | None, page: str | None, lm, list_cut: bool = False) -> str | None:
+    """The one defect of an answer, or None: empty, copy, refusal, truncated or language, in this order. list_cut: see p3.with_limits."""
     if task == "correct" and answers.is_empty(page) and answers.is_empty(answer):
         return None
     if answers.is_empty(answer):
@@ -67,7 +67,7 @@ def defect(answer: str | None, prompts: list[str], lang: str | None, task: str |
             if want and _off_language(lm, answer, want):
                 return "language"
         return "truncated" if answers.unfinished_page(answer, page) else None
-    if answer.endswith("�") or answers.unfinished(answer, listed=task == "labels"):
+    if list_cut or answer.endswith("�") or answers.unfinished(answer, listed=task == "labels"):
         return "truncated"
     if task == "diagram":
         got = [a or b for a, b in _FIELD.findall(answer)]
@@ -88,11 +88,13 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lm = spark.sparkContext.broadcast(langid.fit(table(spark, sf_dir, "documents")))
 
     @F.pandas_udf("string")
-    def defect_(answer: pd.Series, prompt: pd.Series, lang: pd.Series, task: pd.Series, page: pd.Series) -> pd.Series:
+    def defect_(answer: pd.Series, prompt: pd.Series, lang: pd.Series, task: pd.Series, page: pd.Series, list_cut: pd.Series) -> pd.Series:
         ok = lambda x: x if isinstance(x, str) else None
-        return pd.Series([defect(ok(a), by_task.get(k) or ([p] if ok(p) else []), ok(n), ok(k), ok(g), lm.value) for a, p, n, k, g in zip(answer, prompt, lang, task, page)], dtype=object)
+        return pd.Series([defect(ok(a), by_task.get(k) or ([p] if ok(p) else []), ok(n), ok(k), ok(g), lm.value, bool(c)) for a, p, n, k, g, c in zip(answer, prompt, lang, task, page, list_cut)], dtype=object)
 
-    return pairs(spark, sf_dir).withColumn("defect", defect_("answer", "prompt_text", "lang", "task", "page"))
+    lists = p3.with_limits(spark, sf_dir).where("list_cut").select("src_table", "rec_key", "list_cut")
+    rows = pairs(spark, sf_dir).join(lists, ["src_table", "rec_key"], "left").withColumn("list_cut", F.coalesce("list_cut", F.lit(False)))
+    return rows.withColumn("defect", defect_("answer", "prompt_text", "lang", "task", "page", "list_cut")).drop("list_cut")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
