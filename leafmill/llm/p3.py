@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import answers
-from leafmill.session import table
+from leafmill.session import cut, table
 
 #: A length is a limit if it is the largest of its source, LEAST answers reach it, and they are RATIO times as many as the mean length below it has.
 LEAST, RATIO = 4, 3.0
@@ -57,7 +57,7 @@ def with_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     A list at a limit is cut if it ends after a blank or separator, or in a word that ends no label known to be whole:
     all labels but the last of a list at a limit are.
     """
-    rows = texts(spark, sf_dir)
+    rows = cut(texts(spark, sf_dir))  # read several times below
     rows = rows.join(limits(rows), ["src_table", "source"], "left")
     size = F.octet_length(F.regexp_replace("text", "�+$", ""))
     broken = F.col("text").endswith("�")
