@@ -25,7 +25,9 @@ CLEAN, ALPHA, WIDTH, ROUNDS, ODDS = 0.99, 0.3, 150.0, 2, 1.5
 #: Share of all bigrams from which one is too usual to speak for a swap.
 USUAL = 2e-5
 
-WORD = re.compile("[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
+# A word ends at blanks of any kind, but for U+00A0 after a character that may be a byte's (0xA0 is a letter or part of one on many pages).
+_INK = "\x80-\x9f\xa1-\u167f\u1681-\u1fff\u200b-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\U0010ffff"
+WORD = re.compile(f"[A-Za-z]*[{_INK}](?:[A-Za-z{_INK}]|(?<=[\x80-\U0010ffff])\xa0)*")
 _TWINS = {ord(p[0]): p[1] for p in TWINS.split(" ")}
 _TWIN = re.compile("[A-Za-z]")
 _BAD = re.compile("[\x80-\x9f�]")
