@@ -73,7 +73,7 @@ def learn(spark: SparkSession, rows: DataFrame) -> swaps.Model:
     """
     gathered = _gather(rows)
     base = {r["pair"]: float(r["n"]) for r in gathered.where("word is null").select("pair", "n").collect()}
-    model = swaps.Model(base)
+    model = swaps.Model(swaps.lettered(base))
     words = gathered.where("word is not null").select("source", "word", "n")
     learnt: dict = {}
     for step in range(swaps.ROUNDS + 1):
@@ -124,28 +124,50 @@ def _expect(spark: SparkSession, words: DataFrame, model: swaps.Model, base: dic
 
 
 def _with_free(spark: SparkSession, words: DataFrame, model: swaps.Model, free: dict) -> swaps.Model:
-    """``model`` with those free ciphers whose words are words of the corpus once they are decoded."""
+    """``model`` with those free ciphers whose words are words of the corpus once they are decoded, and with these words as decoded in its bigrams."""
     tried = _share(spark, swaps.Model(model.counts, model.shares, model.tables | free))
 
+    def decoded(own, batch):
+        src, words_, n = (c.to_pylist() for c in batch.columns)
+        for s, w, c, odd, (k, _, lo) in zip(src, words_, n, own.strange(words_), own.judge(src, words_)):
+            cipher = swaps.kind(w) if odd and (k is None or k.startswith("?") or lo < swaps.ODDS) else ""
+            yield s, cipher, w, c, lo, own.tables.get((s, cipher))
+
     def run(batches):
         own = _own(tried)
         for b in batches:
-            src, words_, n = (c.to_pylist() for c in b.columns)
-            judged = own.judge(src, words_)
-            out = [(s, k, t.lower(), c) for s, (k, t, lo), c in zip(src, judged, n) if k in (swaps.MIXED, swaps.WHOLE) and lo >= swaps.ODDS]
-            plain = [(None, None, w.lower(), c) for w, (k, _, lo), c in zip(words_, judged, n) if lo < swaps.ODDS]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out + plain], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["source", "cipher", "word", "n"])
-
-    got = words.mapInArrow(run, "source string, cipher string, word string, n long").groupBy("source", "cipher", "word").agg(F.sum("n").alias("n"))
-    got = cut(got)
+            out = []
+            for s, cipher, w, c, lo, to in decoded(own, b):
+                if to:
+                    if (t := w.translate(to)) != w:
+                        out.append((s, cipher, t.lower(), c))
+                elif lo < swaps.ODDS:
+                    out.append((None, None, w.lower(), c))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["source", "cipher", "word", "n"])
+
+    got = cut(words.mapInArrow(run, "source string, cipher string, word string, n long").groupBy("source", "cipher", "word").agg(F.sum("n").alias("n")))
     known = got.where("source is null").select("word", F.lit(1).alias("known"))
     rows = got.where("source is not null").join(known, "word", "left").groupBy("source", "cipher").agg(F.count("*").alias("words"), F.count("known").alias("known"), F.sum("n").alias("n")).collect()
     kept = {(r["source"], r["cipher"]): r["n"] for r in rows if r["known"] >= swaps.KNOWN_WORDS and r["known"] >= swaps.KNOWN_SHARE * r["words"]}
-    total = {r["source"]: r["n"] for r in words.groupBy("source").agg(F.sum("n").alias("n")).collect()} if kept else {}
+    if not kept:
+        return model
+    total = {r["source"]: r["n"] for r in words.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     shares = {s: dict(by) for s, by in model.shares.items()}
     for (s, k), n in kept.items():
         shares.setdefault(s, {})[k] = n / total[s]
-    return swaps.Model(model.counts, shares, model.tables | {k: free[k] for k in kept})
+    sure = {k: free[k] for k in kept}
+    ours = _share(spark, swaps.Model(model.counts, model.shares, model.tables | sure))
+
+    def moved(batches):
+        own = _own(ours)
+        for b in batches:
+            out = swaps.bigrams([x for _, _, w, c, _, to in decoded(own, b) if to for x in ((w, -float(c)), (w.translate(to), float(c)))])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.float64())], names=["pair", "n"])
+
+    counts = defaultdict(float, model.counts)
+    for r in words.mapInArrow(moved, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] += r["n"]
+    return swaps.Model(dict(counts), shares, model.tables | sure)
 
 
 def _share(spark: SparkSession, model: swaps.Model):

@@ -28,7 +28,7 @@ MARKS = "–—’‘“”„…•·°±µ√─├└│§©®«»¿¡º²³"
 #: Letters above this code point count as one; tables over code points end at TOP.
 HIGH, TOP = 0x3000, 0xFFFF
 #: Prior share of clean words, smoothing of the bigrams, rounds, and the log odds from which a word counts as garbled.
-CLEAN, ALPHA, WIDTH, ROUNDS, ODDS = 0.99, 0.3, 150.0, 2, 1.5
+CLEAN, ALPHA, WIDTH, ROUNDS, ODDS = 0.99, 0.3, 150.0, 3, 1.5
 #: Share of all bigrams from which one is too usual to speak for a swap.
 USUAL = 2e-5
 #: Occurrences that a public page's letter counts for, steps of a fit, its starts, and occurrences from which a symbol is fitted.
@@ -49,6 +49,10 @@ _TWINS = {ord(p[0]): p[1] for p in TWINS.split(" ")}
 _TWIN = re.compile("[A-Za-z]")
 _BAD = re.compile("[\x80-\x9f�]")
 
+#: A symbol outside ASCII right before a letter: no joiner or dash, and at the start of a word no quote or bullet.
+_SYMBOL = "[^\\w\\s\\x00-\\x7f\\xad·’‘\u02bc\u2010-\u2015…\u200b-\u200f\u2060\ufeff\ufffd]"
+_INSIDE = re.compile(f"(?<=[^\\W\\d_]){_SYMBOL}+(?=[^\\W\\d_])|^(?![„“”‚«»‹›¿¡°•§©®±µ²³¹]){_SYMBOL}+(?=[^\\W\\d_])")
+
 
 def _pages() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     back, forth = {}, {}
@@ -149,7 +153,7 @@ class Model:
         return np.logical_and.reduceat(ok, begin)
 
     def strange(self, words: list[str]) -> np.ndarray:
-        """Whether at least half of the word's bigrams with a character outside ASCII are not usual."""
+        """Whether a symbol stands in the word as a letter, or at least half of its bigrams with a character outside ASCII are not usual."""
         if not words:
             return np.zeros(0, bool)
         points, starts = flat(words)
@@ -157,12 +161,17 @@ class Model:
         first, second, _ = pairs(points, starts)
         high = ((first > 0x7F) | (second > 0x7F)).astype(np.int64)
         often = (hit & self.often[at]) if len(self.keys) else hit
-        return 2 * np.add.reduceat(high * ~often, begin) >= np.add.reduceat(high, begin)
+        rare = 2 * np.add.reduceat(high * ~often, begin) >= np.add.reduceat(high, begin)
+        return rare | np.array([bool(_INSIDE.search(w)) for w in words])
+
+    def spells(self, text: str) -> bool:
+        """Whether every letter of the text occurs in the corpus."""
+        return bool((self.index[LOW[flat([text])[0]]] < self.size - 1).all())
 
     def judge(self, sources: list[str], words: list[str], start: bool = False) -> list[tuple[str | None, str, float]]:
         """For each word: (likeliest cipher or None, text, log odds of being garbled).
 
-        ``start``: the bigrams still hold garbled words, so a word that decodes as UTF-8 counts as garbled by that alone.
+        ``start``: the bigrams still hold garbled words, so a word that decodes as UTF-8 into letters of the corpus counts as garbled by that alone.
         """
         if not words:
             return []
@@ -218,7 +227,7 @@ class Model:
                 if at not in spell:
                     spell[at] = self.table(*at)
                 text = words[i].translate(spell[at])
-            if start and k and "utf_8" in k:
+            if start and k and "utf_8" in k and self.spells(text):
                 odds = max(odds, 10.0)
             if bad[i]:
                 odds = max(odds, 20.0)
@@ -308,23 +317,51 @@ class Model:
         self.memo.update(zip(new, self.judge([k[0] for k in new], [k[1] for k in new])))
         return self.memo
 
+    def undo(self, source: str, k: str, word: str) -> str | None:
+        """The word as cipher k has it; None if k cannot have made it."""
+        if "<utf_8" not in k:
+            if "<" in k and any(BACK[k.split("<")[0]][min(ord(c), TOP)] < 0 for c in word):
+                return None
+            got = word.translate(self.table(source, k))
+            return got if got != word and all(PLAIN[min(ord(c), TOP)] for c in got) else None
+        x, times = k.split("<")[0], 1 + k.count("+")
+        for z in (x,) * times:
+            raw = BACK[z][flat([word])[0]]
+            if (raw < 0).any() or not (raw > 127).any():
+                return None
+            try:
+                word = bytes(raw.tolist()).decode("utf-8")
+            except UnicodeDecodeError:
+                return None
+        return word
+
     def repair(self, source: str, text: str) -> tuple[str, bool, bool]:
-        """(text with garbled words restored, any garbled, all of them restored)."""
-        known = self.verdicts({(source, w) for w in WORD.findall(text)})
-        found, whole = False, True
+        """(text with garbled words restored, any garbled, all of them restored).
 
-        def one(m):
-            nonlocal found, whole
-            k, t, lo = known[source, m.group()]
+        In a text with garbled words the other words are tried with the cipher that made most of these, at even odds.
+        """
+        words = dict.fromkeys(WORD.findall(text))
+        known = self.verdicts({(source, w) for w in words})
+        spelt, by = {}, Counter()
+        whole = True
+        for w in words:
+            k, t, lo = known[source, w]
             if lo < ODDS:
-                return m.group()
-            found = True
+                continue
             if k is None or _BAD.search(t):
-                whole = False
-                return m.group()
-            return t
-
-        return WORD.sub(one, text), found, whole and found
+                whole, spelt[w] = False, w
+            else:
+                spelt[w] = t
+                by[k] += len(w)
+        if not spelt:
+            return text, False, False
+        if by:
+            k = by.most_common(1)[0][0]
+            other = {w: t for w in words if w not in spelt and (t := self.undo(source, k, w))}
+            if other:
+                better = self.logp(*flat(list(other.values()))) > self.logp(*flat(list(other)))
+                spelt |= {w: t for (w, t), ok in zip(other.items(), better) if ok}
+        return WORD.sub(lambda m: spelt.get(m.group(), m.group()), text), True, whole
 
 
 def kind(word: str) -> str:
@@ -335,6 +372,12 @@ def kind(word: str) -> str:
     return MIXED if any(c.isascii() for c in word) else WHOLE
 
 
+def lettered(counts: dict[int, float]) -> dict[int, float]:
+    """The bigrams without those of a letter and a symbol outside ASCII: before the first step these may all be garbled."""
+    letter = {c: c == HIGH or chr(c).isalpha() or unicodedata.combining(chr(c)) > 0 for key in counts for c in divmod(key, HIGH + 1)}
+    return {key: n for key, n in counts.items() if letter[key // (HIGH + 1)] == letter[key % (HIGH + 1)] or key < HIGH + 1 or key % (HIGH + 1) == 0}
+
+
 def expect(model: Model, rows: list[tuple[str, str, int]], start: bool) -> tuple[Counter, Counter, Counter]:
     """Of (source, word, count): expected counts of ciphers by source, changes of bigrams, and bigrams of symbols by (source, cipher)."""
     shares: Counter = Counter()
@@ -344,7 +387,7 @@ def expect(model: Model, rows: list[tuple[str, str, int]], start: bool) -> tuple
     strange = model.strange([r[1] for r in rows])
     for (source, word, n), (k, text, lo), odd in zip(rows, judged, strange):
         p = 1 / (1 + math.exp(-min(max(lo, -500), 500)))
-        if odd and lo > -20 and (k is None or p < 0.5) and (free := kind(word)):
+        if odd and (k is None or p < 0.5) and (free := kind(word)):
             _symbols(symbols, source, free, word, n)
         if k is None:
             shares[source, "" if lo < 0 else "?"] += n
