@@ -105,56 +105,97 @@ def edges(img: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray
         out = grown | out
 
 
+def labels(mask: np.ndarray) -> np.ndarray:
+    """Number of each set pixel's connected region (8 neighbours), from 1 in order of its first pixel; 0 elsewhere.
+
+    Runs of each row are joined with those they touch in the next; the smallest number spreads over all runs of a region.
+    """
+    h, w = mask.shape
+    flat = np.zeros((h, w + 2), np.int8)
+    flat[:, 1:-1] = mask
+    step = np.diff(flat, axis=1)
+    row, start = np.nonzero(step == 1)
+    stop = np.nonzero(step == -1)[1]
+    n = len(row)
+    out = np.zeros((h, w), np.int64)
+    if not n:
+        return out
+    # the runs of the next row that a run touches are neighbours in row order
+    wide = w + 2
+    first = np.searchsorted(row * wide + stop, (row + 1) * wide + start)
+    last = np.searchsorted(row * wide + start, (row + 1) * wide + stop, "right")
+    count = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    own = np.arange(n)
+    while len(a):
+        low = np.minimum(own[a], own[b])
+        new = own.copy()
+        np.minimum.at(new, own[a], low)
+        np.minimum.at(new, own[b], low)
+        new = new[new]
+        if (new == own).all() and (own[a] == own[b]).all():
+            break
+        own = new
+    number = np.unique(own, return_inverse=True)[1] + 1
+    out[mask.astype(bool)] = np.repeat(number, stop - start)
+    return out
+
+
 def regions(img: np.ndarray, below: int = 250) -> list[tuple[int, int, int, int]]:
     """Boxes (x, y, w, h) of the connected dark regions (8 neighbours), in order of their first pixel."""
-    dark = luma(img) <= below
-    h, w = dark.shape
-    label = np.zeros((h, w), np.int64)
-    parent = [0]
+    label = labels(luma(img) <= below)
+    ys, xs = np.nonzero(label)
+    if not len(ys):
+        return []
+    at = label[ys, xs]
+    n = int(at.max()) + 1
+    x0, y0, x1, y1 = np.full(n, img.shape[1]), np.full(n, img.shape[0]), np.zeros(n, int), np.zeros(n, int)
+    np.minimum.at(x0, at, xs)
+    np.minimum.at(y0, at, ys)
+    np.maximum.at(x1, at, xs)
+    np.maximum.at(y1, at, ys)
+    return [(int(x0[i]), int(y0[i]), int(x1[i] - x0[i] + 1), int(y1[i] - y0[i] + 1)) for i in range(1, n)]
+
+
+def region_crops(img: np.ndarray, width: float, height: float, below: int = 250) -> list[tuple[float, float, float, float, np.ndarray]]:
+    """(x0, y0, x1, y1 in points, crop) of the dark regions of a page's render that are large enough to be figures.
+
+    A region counts from max(5000, 0.005 of the page in square points) pixels of its box.
+    """
+    h, w = img.shape[:2]
+    least = max(5000.0, 0.005 * width * height)
+    return [(x * width / w, y * height / h, (x + a) * width / w, (y + b) * height / h, img[y : y + b, x : x + a]) for x, y, a, b in regions(img, below) if a * b > least]
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    for y in range(h):
-        for x in np.flatnonzero(dark[y]):
-            near = [label[y, x - 1]] if x else []
-            if y:
-                near += list(label[y - 1, max(x - 1, 0) : x + 2])
-            near = [root(int(v)) for v in near if v]
-            if near:
-                m = min(near)
-                for v in near:
-                    parent[v] = m
-                label[y, x] = m
-            else:
-                parent.append(len(parent))
-                label[y, x] = len(parent) - 1
-    boxes: dict[int, list[int]] = {}
-    for y, x in zip(*np.nonzero(label)):
-        r = root(int(label[y, x]))
-        b = boxes.setdefault(r, [x, y, x, y])
-        b[0], b[1], b[2], b[3] = min(b[0], x), min(b[1], y), max(b[2], x), max(b[3], y)
-    return [(int(b[0]), int(b[1]), int(b[2] - b[0] + 1), int(b[3] - b[1] + 1)) for _, b in sorted(boxes.items())]
+def over_white(img: np.ndarray) -> np.ndarray:
+    """An RGBA picture laid over white."""
+    a = img[..., 3:].astype(np.float64) / 255
+    return to_uint8(np.rint(img[..., :3] * a + 255 * (1 - a)))
 
 
 def extend(seg: tuple[float, float, float, float], mask: np.ndarray) -> tuple[int, int, int, int]:
-    """A segment lengthened at both ends as long as the mask is set there."""
-    x1, y1, x2, y2 = seg
-    h, w = mask.shape[:2]
-    a = math.atan2(y2 - y1, x2 - x1)
-    dx, dy = math.cos(a), math.sin(a)
-
-    def walk(x: float, y: float, sx: float, sy: float) -> tuple[float, float]:
-        while 0 <= int(x) < w and 0 <= int(y) < h and mask[int(y), int(x)]:
-            x, y = x + sx, y + sy
-        return x, y
+    """A segment lengthened at both ends as long as the mask is set there.
 
-    bx, by = walk(x1, y1, -dx, -dy)
-    fx, fy = walk(x2, y2, dx, dy)
-    return int(max(0, bx)), int(max(0, by)), int(min(w - 1, fx)), int(min(h - 1, fy))
+    Each end is followed along a ray of unit steps, all sampled at once, up to its first sample that is unset or outside.
+    """
+    h, w = mask.shape[:2]
+    x1, y1, x2, y2 = seg
+    direction = np.array([x2 - x1, y2 - y1], float)
+    length = np.hypot(*direction)
+    unit = direction / length if length else np.array([1.0, 0.0])
+    steps = np.arange(h + w + 2)[:, None]
+
+    def reach(end: tuple[float, float], unit: np.ndarray) -> np.ndarray:
+        ray = np.array(end) + steps * unit
+        at = ray.astype(int)
+        inside = (at >= 0).all(1) & (at[:, 0] < w) & (at[:, 1] < h)
+        clipped = np.clip(at, 0, [w - 1, h - 1])
+        on = inside & (mask[clipped[:, 1], clipped[:, 0]] != 0)
+        return ray[int(np.argmin(on))]
+
+    back, ahead = reach((x1, y1), -unit), reach((x2, y2), unit)
+    return int(max(0, back[0])), int(max(0, back[1])), int(min(w - 1, ahead[0])), int(min(h - 1, ahead[1]))
 
 
 def png_encode(img: np.ndarray) -> bytes:
