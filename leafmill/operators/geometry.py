@@ -207,13 +207,25 @@ def _segments(spark, d):
     return boxes(spark, d).select(C("k"), C("n"), C("p"), (C("x0") % 40).alias("x1"), (C("y0") % 40).alias("y1"), (C("x0") % 40 + C("q") % 5).alias("x2"), (C("y0") % 40 + C("q") % 3).alias("y2")).distinct()
 
 
+def near_pairs(segs: DataFrame, key: str, order: list[str], near: float = 10.0) -> DataFrame:
+    """Pairs (i before j in ``order``) of segments of one drawing with like directions and midpoints nearer than ``near``.
+
+    Midpoints meet by cells of a grid as wide as ``near``: each segment looks into its own cell and the eight around it, so a
+    drawing with very many segments is spread over its cells.
+    """
+    s = segs.withColumn("a", angle(C("x1"), C("y1"), C("x2"), C("y2"))).withColumn("mx", (C("x1") + C("x2")) / 2).withColumn("my", (C("y1") + C("y2")) / 2)
+    s = s.withColumn("gx", F.floor(C("mx") / near)).withColumn("gy", F.floor(C("my") / near))
+    steps = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    i = s.withColumn("_s", F.explode(steps)).withColumn("gx", C("gx") + C("_s.dx")).withColumn("gy", C("gy") + C("_s.dy")).drop("_s").alias("i")
+    j = s.alias("j")
+    like = collinear(C("i.a"), C("j.a")) & (F.hypot(C("i.mx") - C("j.mx"), C("i.my") - C("j.my")) < near)
+    before = F.struct(*[C(f"i.{o}") for o in order]) < F.struct(*[C(f"j.{o}") for o in order])
+    return i.join(j, (C(f"i.{key}") == C(f"j.{key}")) & (C("i.gx") == C("j.gx")) & (C("i.gy") == C("j.gy")) & before & like)
+
+
 def collinear_pairs(spark, d):
     """Pairs of segments of one order that the merge test joins, counted by order."""
-    s = _segments(spark, d).withColumn("a", angle(C("x1"), C("y1"), C("x2"), C("y2"))).withColumn("mx", (C("x1") + C("x2")) / 2).withColumn("my", (C("y1") + C("y2")) / 2)
-    i, j = s.alias("i"), s.alias("j")
-    like = (F.abs(C("i.a") - C("j.a")) < 0.05) & (F.hypot(C("i.mx") - C("j.mx"), C("i.my") - C("j.my")) < 10)
-    after = (C("i.n") < C("j.n")) | ((C("i.n") == C("j.n")) & (C("i.p") < C("j.p")))
-    return i.join(j, (C("i.k") == C("j.k")) & after & like).groupBy(C("i.k").alias("k")).agg(F.count("*").alias("pairs"))
+    return near_pairs(_segments(spark, d), "k", ["n", "p"]).groupBy(C("i.k").alias("k")).agg(F.count("*").alias("pairs"))
 
 
 def segment_group_box(spark, d):
@@ -251,7 +263,8 @@ SQL = {
     "color_unpack": f"select l_suppkey % 64 as sheet, {', '.join(f'round(sum(((l_partkey * 31 % 16777216) >> {n} & 255) / 255.0::double), 4) as {c}' for n, c in ((16, 'r'), (8, 'g'), (0, 'b')))} from lineitem group by 1",
     "font_flags": "select (l_suppkey % 32)::int & 16 <> 0 as bold, (l_suppkey % 32)::int & 2 <> 0 as italic, count(*) as n from lineitem group by 1, 2",
     "segment_metrics": f"with {_B} select p % 100 as sheet, round(sum(atan2(y1 - y0, x1 - x0)), 4) as angle, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 3) as length from b group by 1",
-    "collinear_pairs": f"""with {_SEG}, t as (select *, atan2(y2 - y1, x2 - x1) as a, (x1 + x2) / 2 as mx, (y1 + y2) / 2 as my from s)
-      select i.k, count(*) as pairs from t i join t j on i.k = j.k and (i.n < j.n or (i.n = j.n and i.p < j.p)) and abs(i.a - j.a) < 0.05 and sqrt((i.mx - j.mx) ^ 2 + (i.my - j.my) ^ 2) < 10 group by 1""",
+    "collinear_pairs": f"""with {_SEG}, t as (select *, atan2(y2 - y1, x2 - x1) as a, (x1 + x2) / 2 as mx, (y1 + y2) / 2 as my from s),
+      u as (select i.k, i.a - j.a as d from t i join t j on i.k = j.k and (i.n < j.n or (i.n = j.n and i.p < j.p)) and sqrt((i.mx - j.mx) ^ 2 + (i.my - j.my) ^ 2) < 10)
+      select k, count(*) as pairs from u where abs(d) < 0.05 or abs((d + pi()) - floor((d + pi()) / pi()) * pi() - pi() / 2) < 0.05 group by 1""",
     "segment_group_box": f"with {_SEG} select k, least(min(x1), min(x2)) as x0, least(min(y1), min(y2)) as y0, greatest(max(x1), max(x2)) as x1, greatest(max(y1), max(y2)) as y1 from s group by 1",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import sql_strip, strip
+from leafmill.operators.pixels import is_tiny
 from leafmill.session import cut, table
 
 #: Page size in points where a stand-in needs one.
@@ -34,6 +35,27 @@ def page_range(spec: Column | str, total: Column | str) -> Column:
     return F.when(spec.isNull() | (spec == ""), every).otherwise(chosen)
 
 
+def wanted_pages(spec: str | None, total: int) -> list[int]:
+    """``page_range`` for one value."""
+    if not spec:
+        return list(range(total))
+
+    def number(t: str) -> int | None:
+        t = t.strip()
+        return int(t) if t.lstrip("+-").isdigit() and t[1:].isdigit() | (len(t) == 1) else None
+
+    out: set[int] = set()
+    for part in map(str.strip, spec.split(",")):
+        low, dash, high = part.partition("-")
+        if dash:
+            a, b = number(low), number(high)
+            if a is not None and b is not None:
+                out.update(range(max(1, a) - 1, min(b, total)))
+        elif (one := number(part)) is not None:
+            out.add(one - 1)
+    return sorted(p for p in out if 0 <= p < total)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -130,7 +152,7 @@ def block_skip_rule(spark, d):
 def tiny_filter(spark, d):
     """Figures large enough to keep: as image (not both sides below 24), and as diagram (no side below 50)."""
     f = figures(spark, d).select("diagram_id", (F.col("bbox.x1") - F.col("bbox.x0")).alias("w"), (F.col("bbox.y1") - F.col("bbox.y0")).alias("h"))
-    return f.select("diagram_id", (~((F.col("w") < 24) & (F.col("h") < 24))).alias("image"), ((F.col("w") >= 50) & (F.col("h") >= 50)).alias("diagram"))
+    return f.select("diagram_id", (~is_tiny(F.col("w"), F.col("h"), True)).alias("image"), ((F.col("w") >= 50) & (F.col("h") >= 50)).alias("diagram"))
 
 
 def font_catalogue_first(spark, d):
@@ -154,6 +176,22 @@ def page_block_join(spark, d):
     return t.join(f, ["doc_id", "page_num"])
 
 
+def with_counts(entries: Column, page_count: Column, is_pdf: Column, needs_pass: Column) -> Column:
+    """A document's metadata with page_count (0 by default), is_pdf (true) and needs_pass (false), over entries of these names."""
+    plain = F.map_filter(F.coalesce(entries, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("page_count", "is_pdf", "needs_pass"))
+    more = F.create_map(
+        F.lit("page_count"), F.coalesce(page_count, F.lit(0)).cast("string"), F.lit("is_pdf"), F.coalesce(is_pdf, F.lit(True)).cast("string"), F.lit("needs_pass"), F.coalesce(needs_pass, F.lit(False)).cast("string")
+    )
+    return F.map_concat(plain, more)
+
+
+def metadata_defaults(spark, d):
+    """Metadata of every document with its counts, a row per entry."""
+    m = F.create_map(F.lit("title"), F.col("doc_kind"), F.lit("page_count"), F.lit("x"))
+    null = F.lit(None).cast("boolean")
+    return table(spark, d, "documents").select("doc_id", F.explode(with_counts(m, F.col("page_count"), null, F.when(F.col("doc_id") % 7 == 0, True))).alias("k", "v"))
+
+
 def metadata(entries: Column) -> Column:
     """The entries of a document's metadata that a rebuilt one keeps; its creator is always ours."""
     keep = F.map_filter(entries, lambda k, v: k.isin("title", "author", "subject") & v.isNotNull())
@@ -166,11 +204,19 @@ def metadata_whitelist(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(metadata(m)).alias("k", "v"))
 
 
+def bookmarks(toc: Column | str) -> Column:
+    """The table of contents (level, title, page) of a document, none where it is null; entries without title stay."""
+    return F.coalesce(toc, F.from_json(F.lit("[]"), "array<struct<level:int,title:string,page:int>>"))
+
+
 def bookmark_default(spark, d):
-    """Bookmarks of every document, none where it has none: headings are the lines of larger type."""
-    heads = table(spark, d, "text_blocks").where("font_size > 12 and text is not null").dropDuplicates(["tb_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
-    docs = table(spark, d, "text_blocks").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("bookmarks"))
+    """Bookmarks of every document: its entries in order, none where it has no table of contents.
+
+    The stand-in has one for two documents of three, of three entries.
+    """
+    toc = F.expr("case when doc_id % 3 <> 0 then transform(sequence(1, 3), i -> named_struct('level', cast(1 + (i + doc_id) % 2 as int), 'title', concat(coalesce(doc_kind, ''), ' ', i), 'page', cast(i * 2 as int))) end")
+    b = table(spark, d, "documents").select("doc_id", bookmarks(toc).alias("b"))
+    return b.select("doc_id", F.size("b").cast("long").alias("n"), F.array_join(F.transform("b", lambda x: F.concat_ws(":", x["level"].cast("string"), x["title"], x["page"].cast("string"))), "|").alias("entries"))
 
 
 def output_path(path: Column | str, suffix: str = "_enhanced") -> tuple[Column, Column]:
@@ -199,7 +245,7 @@ def listing_order(spark, d):
 
 QUERIES = {f.__name__.removesuffix("_q"): f for f in (
     page_range_expand, fast_text_mode, text_density, image_area_fraction, page_classify, scanned_flag, block_skip_rule, tiny_filter, font_catalogue_first,
-    bbox_lookup_default, page_block_join, metadata_whitelist, bookmark_default, output_path_q, listing_order,
+    bbox_lookup_default, page_block_join, metadata_whitelist, metadata_defaults, bookmark_default, output_path_q, listing_order,
 )}
 _TB = "tb as (select * from (select *, row_number() over (partition by tb_id) as dup from text_blocks) where dup = 1)"
 _FA = "greatest(0.0, (x1 - x0) * (y1 - y0))"
@@ -228,7 +274,8 @@ SQL = {
       select f.diagram_id, coalesce(i.x0, 0) as x0, coalesce(i.y0, 0) as y0, coalesce(i.x1, {WIDTH}) as x1, coalesce(i.y1, {HEIGHT}) as y1 from fig f left join i on f.doc_id = i.doc_id and f.page_num = i.page_num and f.xref = i.xref""",
     "page_block_join": f"with {_TB}, {_FIG}, a as (select doc_id, page_num, count(*) as blocks from tb group by 1, 2), b as (select doc_id, page_num, count(*) as figures from fig group by 1, 2) select a.doc_id, a.page_num, blocks, figures from a join b on a.doc_id = b.doc_id and a.page_num = b.page_num",
     "metadata_whitelist": "select doc_id, k, v from (select doc_id, unnest(['title', 'author', 'subject', 'creator']) as k, unnest([doc_kind, source, lang, 'leafmill']) as v from documents) where v is not null",
-    "bookmark_default": f"with {_TB} select doc_id, count(*) filter (where font_size > 12 and text is not null) as bookmarks from tb group by 1",
+    "metadata_defaults": "select doc_id, k, v from (select doc_id, unnest(['title', 'page_count', 'is_pdf', 'needs_pass']) as k, unnest([doc_kind, coalesce(page_count, 0)::varchar, 'true', case when doc_id % 7 = 0 then 'true' else 'false' end]) as v from documents)",
+    "bookmark_default": "select doc_id, case when doc_id % 3 <> 0 then 3 else 0 end::bigint as n, case when doc_id % 3 <> 0 then array_to_string(list_transform([1, 2, 3], lambda i: concat(1 + (i + doc_id) % 2, ':', coalesce(doc_kind, ''), ' ', i, ':', i * 2)), '|') else '' end as entries from documents",
     "output_path": r"select distinct pdf_path, concat('out/', regexp_replace(regexp_extract(pdf_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '_enhanced.pdf') as output, concat('out/', regexp_replace(regexp_extract(pdf_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '_enhanced.quality_report.json') as report from extractions",
     "listing_order": "select row_number() over (order by pdf_path) - 1 as idx, pdf_path from (select distinct pdf_path from extractions where pdf_path like '%.pdf')",
 }

@@ -1,4 +1,4 @@
-"""Pictures: statistics over the pixel relation (img, y, x, v), rules on them, and kernels in Arrow batches."""
+"""Pictures: one row a picture, statistics by numpy kernels in Arrow batches, rules on them as columns."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import imaging as I
 from leafmill.functions import pixels as K
 from leafmill.session import table
 
@@ -16,9 +17,13 @@ C = F.col
 SIDE = 8
 
 
-def moments(px: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    """Population variance, mean, largest, smallest and deviation of the pixels of each picture."""
-    return px.groupBy(*keys).agg(F.var_pop(v).alias("var"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_pop(v).alias("std"))
+def moments(p: np.ndarray) -> dict:
+    """Population variance, mean, largest, smallest, deviation and number of distinct values of a picture's pixels."""
+    v = p.astype(np.float64)
+    return {"var": float(v.var()), "mean": float(v.mean()), "max": int(p.max()), "min": int(p.min()), "std": float(v.std()), "colors": len(np.unique(p.reshape(-1, p.shape[-1]) if p.ndim == 3 else p.ravel(), axis=0))}
+
+
+MOMENTS = "var double, mean double, max int, min int, std double, colors long"
 
 
 def is_photo(var: Column, colors: Column) -> Column:
@@ -43,22 +48,29 @@ def sniff(data: Column | str, default: str = "png") -> Column:
     return F.when(h.startswith("89504E470D0A1A0A"), "png").when(h.startswith("FFD8"), "jpg").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "webp").otherwise(default)
 
 
-def otsu(px: DataFrame, key: str, v: str = "v") -> DataFrame:
-    """(key, threshold): the grey value that parts each picture's pixels with the largest variance between the parts, the smallest on ties.
+def is_tiny(w: Column, h: Column, flag: bool = False) -> Column:
+    """Whether an image is left out as too small: both sides below 24, where the flag is set."""
+    return F.lit(flag) & (w < 24) & (h < 24)
+
+
+def accepts_raster(mean: Column, top: Column) -> Column:
+    """Whether a raster made from a vector picture is more than nearly empty."""
+    return (top > 1) & (mean > 1.0)
+
+
+def near_black(mean: Column) -> Column:
+    """Whether a result is rejected as nearly black."""
+    return mean < 6.0
 
-    Computed from histograms of at most 256 rows a picture.
-    """
-    hist = px.groupBy(key, v).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(v)
-    whole = Window.partitionBy(key)
-    h = hist.select(
-        key, C(v).alias("t"), F.sum("n").over(w).alias("n0"), F.sum(C("n") * C(v)).over(w).alias("s0"),
-        F.sum("n").over(whole).alias("n1"), F.sum(C("n") * C(v)).over(whole).alias("s1"),
-    )
-    # the score is exact in integers: (s0*n1 - s1*n0)^2 / (n0 * (n1 - n0))
-    d = (C("s0") * C("n1") - C("s1") * C("n0")).cast("double")
-    score = F.when(C("n1") > C("n0"), d * d / (C("n0") * (C("n1") - C("n0")))).otherwise(0.0)
-    return h.withColumn("score", F.round(score, 6)).groupBy(key).agg(F.min_by("t", F.struct((-C("score")).alias("a"), C("t").alias("b"))).alias("threshold"))
+
+def channels_swapped(first: Column, third: Column) -> Column:
+    """Whether the first channel outweighs the third by half, so that they are taken for swapped."""
+    return first > third * 1.5
+
+
+def too_few_marks(mask_sum: Column, pixels: Column) -> Column:
+    """Whether a mark mask (255 each) covers too little to be removed."""
+    return mask_sum < 0.0005 * pixels
 
 
 def on_pictures(df: DataFrame, keys: list[str], data: str, kernel: Callable[[np.ndarray], dict], schema: str, shape: tuple[int, int] = (SIDE, SIDE)) -> DataFrame:
@@ -86,10 +98,9 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", v.alias("v"))
 
 
-def grey(spark: SparkSession, d: str) -> DataFrame:
-    """The pixel relation of ``pictures``."""
-    p = pictures(spark, d).select("vec_id", "label", F.posexplode("v").alias("i", "v"))
-    return p.select("vec_id", "label", F.floor(C("i") / SIDE).cast("int").alias("y"), (C("i") % SIDE).alias("x"), "v")
+def measured(spark: SparkSession, d: str, kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+    """vec_id and what a kernel makes of every picture."""
+    return on_pictures(pictures(spark, d), ["vec_id"], "v", kernel, schema)
 
 
 _PX = """px as (select vec_id, label, i // 8 as y, i % 8 as x, greatest(0, least(255, floor((e + 1) * 127.5)))::int as v
@@ -99,26 +110,25 @@ _MOM = "m as (select vec_id, var_pop(v) as var, avg(v) as mean, max(v) as max, m
 
 def image_moments(spark, d):
     """Moments of every picture."""
-    m = moments(grey(spark, d), ["vec_id"])
+    m = measured(spark, d, moments, MOMENTS)
     return m.select("vec_id", F.round("var", 6).alias("var"), F.round("mean", 6).alias("mean"), "max", "min", F.round("std", 6).alias("std"))
 
 
 def unique_colors(spark, d):
     """Distinct values of every picture."""
-    return grey(spark, d).select("vec_id", "v").distinct().groupBy("vec_id").agg(F.count("*").alias("colors"))
+    return measured(spark, d, moments, MOMENTS).select("vec_id", "colors")
 
 
 def photo_heuristic(spark, d):
     """Whether every picture is a photo at extraction; variances are scaled up, as the stand-in has little contrast."""
-    m = moments(grey(spark, d), ["vec_id"]).join(unique_colors(spark, d), "vec_id")
-    return m.select("vec_id", is_photo(F.round(C("var") * 2, 6), C("colors")).alias("photo"))
+    return measured(spark, d, moments, MOMENTS).select("vec_id", is_photo(F.round(C("var") * 2, 6), C("colors")).alias("photo"))
 
 
 def diagram_rule(spark, d):
-    """Diagram and photo of every picture, the share of bright pixels standing in for edges."""
-    g = grey(spark, d).groupBy("vec_id").agg(F.round(F.stddev_pop("v") * 4, 6).alias("std"), F.round(F.avg((C("v") > 150).cast("int")), 6).alias("e"))
-    diagram, photo = figure_rule(C("std"), C("e"))
-    return g.select("vec_id", diagram.alias("is_diagram"), photo.alias("is_photo"))
+    """Diagram and photo of every picture by deviation (scaled up) and the share of edge pixels."""
+    m = measured(spark, d, lambda p: moments(p) | {"e": float(K.edges(p, 20, 60).mean())}, MOMENTS + ", e double")
+    diagram, photo = figure_rule(F.round(C("std") * 4, 6), F.round("e", 6))
+    return m.select("vec_id", diagram.alias("is_diagram"), photo.alias("is_photo"))
 
 
 def encode_format_q(spark, d):
@@ -136,58 +146,59 @@ def magic_sniff(spark, d):
 
 def near_black_guard(spark, d):
     """Pictures by whether a vector raster is accepted, and a result rejected as near black; values are lowered to meet the limits."""
-    m = grey(spark, d).groupBy("vec_id").agg(F.avg(F.greatest(C("v") - 120, F.lit(0))).alias("mean"), F.max(F.greatest(C("v") - 120, F.lit(0))).alias("max"))
-    return m.groupBy(((C("max") > 1) & (C("mean") > 1.0)).alias("accept"), (C("mean") < 6.0).alias("reject")).agg(F.count("*").alias("n"))
+    m = measured(spark, d, lambda p: moments(np.maximum(p.astype(int) - 120, 0)), MOMENTS)
+    return m.groupBy(accepts_raster(C("mean"), C("max")).alias("accept"), near_black(C("mean")).alias("reject")).agg(F.count("*").alias("n"))
 
 
 def channel_swap(spark, d):
     """Whether the first channel outweighs the third by half, with the columns of a picture as channels."""
-    mean = lambda k: F.avg(F.when(C("x") % 3 == k, C("v") - 90))
-    m = grey(spark, d).groupBy("vec_id").agg(mean(0).alias("r"), mean(2).alias("b"))
-    return m.select("vec_id", (F.round("r", 6) > F.round(C("b") * 1.5, 6)).alias("swap"))
+    m = measured(spark, d, lambda p: {"r": float(p[:, 0::3].mean() - 90), "b": float(p[:, 2::3].mean() - 90)}, "r double, b double")
+    return m.select("vec_id", channels_swapped(F.round("r", 6), F.round(C("b"), 6)).alias("swap"))
 
 
 def mark_coverage(spark, d):
     """Marked pixels (at 255 each) of every picture, and whether there are too few to remove."""
-    m = grey(spark, d).groupBy("vec_id").agg(F.sum(F.when(C("v") > 165, 255).otherwise(0)).cast("long").alias("mask"), F.count("*").alias("n"))
-    return m.select("vec_id", "mask", (C("mask") < 0.0005 * C("n")).alias("skip"))
+    m = measured(spark, d, lambda p: {"mask": 255 * int((p > 165).sum()), "n": p.size}, "mask long, n long")
+    return m.select("vec_id", "mask", too_few_marks(C("mask"), C("n")).alias("skip"))
 
 
 def alpha_over_white(spark, d):
     """Every picture over white, its columns giving opacity."""
-    a = C("x") / (SIDE - 1)
-    return grey(spark, d).groupBy("vec_id").agg(F.round(F.sum(C("v") * a + 255 * (1 - a)), 4).alias("total"))
+    a = np.arange(SIDE) / (SIDE - 1)
+    return measured(spark, d, lambda p: {"total": float((p * a + 255 * (1 - a)).sum())}, "total double").select("vec_id", F.round("total", 4).alias("total"))
 
 
 def otsu_threshold(spark, d):
     """Threshold of every picture."""
-    return otsu(grey(spark, d), "vec_id")
+    return measured(spark, d, lambda p: {"threshold": I.otsu(p)}, "threshold int")
 
 
-def _pairs(spark, d):
-    g = grey(spark, d)
-    b = g.select((C("vec_id") + 1).alias("vec_id"), "y", "x", C("v").alias("u"))
-    return g.join(b, ["vec_id", "y", "x"])
+def _pairs(spark, d, kernel, schema):
+    """What a kernel makes of every picture and the one before it."""
+    a = pictures(spark, d).select("vec_id", "v")
+    both = a.join(a.select((C("vec_id") + 1).alias("vec_id"), C("v").alias("u")), "vec_id").select("vec_id", F.concat("v", "u").alias("v"))
+    return on_pictures(both, ["vec_id"], "v", lambda p: kernel(p[:SIDE].astype(float), p[SIDE:].astype(float)), schema, (2 * SIDE, SIDE))
 
 
 def psnr(spark, d):
     """Signal to noise of every picture against the one before it; null where they are equal."""
-    m = _pairs(spark, d).groupBy("vec_id").agg(F.avg((C("v") - C("u")) * (C("v") - C("u"))).alias("mse"))
+    m = _pairs(spark, d, lambda a, b: {"mse": float(((a - b) ** 2).mean())}, "mse double")
     return m.select("vec_id", F.when(C("mse") > 0, F.round(10 * F.log10(255.0 * 255.0 / C("mse")), 6)).alias("psnr"))
 
 
 def mean_abs_diff(spark, d):
     """Mean absolute difference of every picture and the one before it."""
-    return _pairs(spark, d).groupBy("vec_id").agg(F.round(F.avg(F.abs(C("v") - C("u"))), 6).alias("diff"))
+    return _pairs(spark, d, lambda a, b: {"diff": float(np.abs(a - b).mean())}, "diff double").select("vec_id", F.round("diff", 6).alias("diff"))
 
 
 def laplacian_variance(spark, d):
     """Variance of the Laplacian of every picture, edges mirrored."""
-    g = grey(spark, d)
-    rows, cols = Window.partitionBy("vec_id", "x").orderBy("y"), Window.partitionBy("vec_id", "y").orderBy("x")
-    up, down, left, right = F.lag("v").over(rows), F.lead("v").over(rows), F.lag("v").over(cols), F.lead("v").over(cols)
-    lap = F.coalesce(up, down) + F.coalesce(down, up) + F.coalesce(left, right) + F.coalesce(right, left) - 4 * C("v")
-    return g.select("vec_id", lap.alias("l")).groupBy("vec_id").agg(F.round(F.var_pop("l"), 6).alias("lap_var"))
+
+    def kernel(p: np.ndarray) -> dict:
+        q = np.pad(p.astype(float), 1, mode="reflect")
+        return {"lap_var": float((q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * q[1:-1, 1:-1]).var())}
+
+    return measured(spark, d, kernel, "lap_var double").select("vec_id", F.round("lap_var", 6).alias("lap_var"))
 
 
 def unsharp_mask(spark, d):
@@ -245,16 +256,44 @@ def segment_extend(spark, d):
     return on_pictures(pictures(spark, d), ["vec_id"], "v", kernel, "x0 int, y0 int, x1 int, y1 int")
 
 
+def enhance_chain(spark, d):
+    """Every picture through the enhancement chain: size of the result, whether it was traced, its mean."""
+
+    def kernel(p: np.ndarray) -> dict:
+        e = I.enhance(K.png_encode(p))
+        return {"width": e.width, "height": e.height, "is_diagram": e.is_diagram, "mean": round(float(I.decode(e.data).mean()), 4)}
+
+    # a costly kernel: pictures are spread over all tasks first
+    wide = pictures(spark, d).select("vec_id", "v").repartition(max(2, spark.sparkContext.defaultParallelism), "vec_id")
+    return on_pictures(wide, ["vec_id"], "v", kernel, "width int, height int, is_diagram boolean, mean double")
+
+
+def vector_trace(spark, d):
+    """Every picture traced and drawn again: rectangles, and whether the raster is the mask."""
+
+    def kernel(p: np.ndarray) -> dict:
+        ink = p <= I.otsu(p)
+        svg = I.trace(ink, 1)
+        return {"size": len(svg or b""), "same": bool(svg is None and not ink.any() or svg is not None and ((I.rasterise(svg)[..., 0] == 0) == ink).all())}
+
+    return measured(spark, d, kernel, "size long, same boolean")
+
+
+def mark_removal(spark, d):
+    """Pixels that mark removal changes in every picture."""
+    return measured(spark, d, lambda p: {"changed": int((I.remove_marks(np.repeat(p[..., None], 3, -1), diff=4) != p[..., None]).any(-1).sum())}, "changed long")
+
+
 QUERIES = {f.__name__.removesuffix("_q"): f for f in (
     image_moments, unique_colors, photo_heuristic, diagram_rule, encode_format_q, magic_sniff, near_black_guard, channel_swap, mark_coverage, alpha_over_white, otsu_threshold,
     psnr, mean_abs_diff, laplacian_variance, unsharp_mask, bicubic_upscale, postprocess, ssim, png_roundtrip, rendered_regions, segment_extend,
+    enhance_chain, vector_trace, mark_removal,
 )}
 _PAIR = "p as (select a.vec_id, a.v, b.v as u from px a join px b on a.vec_id = b.vec_id + 1 and a.x = b.x and a.y = b.y)"
 SQL = {
     "image_moments": f"with {_PX}, {_MOM} select vec_id, round(var, 6) as var, round(mean, 6) as mean, max, min, round(std, 6) as std from m",
     "unique_colors": f"with {_PX}, {_MOM} select vec_id, colors from m",
     "photo_heuristic": f"with {_PX}, {_MOM} select vec_id, round(var * 2, 6) > 500 or colors > 256 as photo from m",
-    "diagram_rule": f"with {_PX}, g as (select vec_id, round(stddev_pop(v) * 4, 6) as std, round(avg((v > 150)::int), 6) as e from px group by 1) select vec_id, e > 0.05 and std < 80 as is_diagram, std > 60 and e < 0.08 and not (e > 0.05 and std < 80) as is_photo from g",
     "encode_format": f"with {_PX}, {_MOM} select vec_id, {', '.join(f'''case when vec_id % 5 = 0 then 'png' when vec_id % 3 = 0 or colors * 50 > 2000 then '{f}' else 'png' end as {n}''' for f, n in (('webp', 'webp'), ('jpg', 'plain')))} from m",
     "magic_sniff": "select distinct pdf_path, (['png', 'jpg', 'webp', 'png', 'png', case when starts_with(hex(data_blob), '89504E470D0A1A0A') then 'png' when starts_with(hex(data_blob), 'FFD8') then 'jpg' when starts_with(hex(data_blob), '52494646') and substr(hex(data_blob), 17, 8) = '57454250' then 'webp' else 'png' end])[length(pdf_path) % 6 + 1] as fmt from extractions",
     "near_black_guard": f"with {_PX}, m as (select vec_id, avg(greatest(v - 120, 0)) as mean, max(greatest(v - 120, 0)) as max from px group by 1) select max > 1 and mean > 1.0 as accept, mean < 6.0 as reject, count(*) as n from m group by 1, 2",

@@ -32,6 +32,26 @@ def fill_cells(data: Column | str) -> Column:
     return F.transform(data, lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
 
 
+def cell_text(value: Column, kind: str) -> Column:
+    """A typed cell as text: null, zero and false are ''."""
+    empty = value.isNull() | (~value if kind == "boolean" else (value == "") if kind == "string" else (value == 0))
+    text = F.when(value, "True") if kind == "boolean" else value.cast("string")
+    return F.when(empty, "").otherwise(text)
+
+
+#: Which sources give tables for each method setting.
+METHODS = {"pdfplumber": ("plumber",), "camelot": ("camelot",), "paddleocr": (), "all": ("plumber", "camelot")}
+
+
+def gated(tables: DataFrame, method: str) -> DataFrame:
+    """The tables of the sources that the setting allows; accuracy of the second source comes in percent and leaves as a share.
+
+    An unknown setting allows none.
+    """
+    kept = tables.where(F.col("method").isin(*METHODS.get(method, ()))) if METHODS.get(method) else tables.where(F.lit(False))
+    return kept.withColumn("accuracy", F.when((F.col("method") == "camelot") & (F.col("accuracy") > 1), F.col("accuracy") / 100).otherwise(F.col("accuracy")))
+
+
 def grid(tables: DataFrame, keys: list[str], scale: float, data: str = "data", bbox: str = "bbox") -> DataFrame:
     """keys, r, c, cell, x, y, w, h: the rectangle of every cell, columns and rows of equal size, the longest row deciding."""
     cols = F.greatest(F.lit(1), F.array_max(F.transform(data, F.size)))
@@ -74,9 +94,9 @@ def union_sources_q(spark, d):
 
 
 def table_grid_layout(spark, d):
-    """Every cell of every table of one source, at 150 dpi."""
-    g = grid(table_blocks(spark, d).where("method = 'plumber'"), ["page", "tbl_ord"], 150 / 72)
-    return g.select("page", "tbl_ord", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "cell", *[F.round(k, 4).alias(k) for k in "xywh"])
+    """Every cell of every table, at 150 dpi."""
+    g = grid(table_blocks(spark, d), ["page", "tbl_ord", "method"], 150 / 72)
+    return g.select("page", "tbl_ord", "method", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "cell", *[F.round(k, 4).alias(k) for k in "xywh"])
 
 
 def cell_null_fill(spark, d):
@@ -85,13 +105,30 @@ def cell_null_fill(spark, d):
     return c.groupBy("cell").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__.removesuffix("_q"): f for f in (table_dedup_best, union_sources_q, table_grid_layout, cell_null_fill)}
+def cell_falsy_fill(spark, d):
+    """Numbers, flags and texts of every order as cells, counted by whether they are empty."""
+    o = table(spark, d, "orders")
+    c = o.select(cell_text(F.col("o_custkey") % 3, "long").alias("n"), cell_text(F.col("o_orderkey") % 2 == 0, "boolean").alias("b"), cell_text(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")), "string").alias("s"))
+    return c.groupBy("n", "b", "s").agg(F.count("*").alias("rows"))
+
+
+def table_method_gate(spark, d):
+    """Tables that each setting allows, with their mean accuracy as a share."""
+    t = table_blocks(spark, d).withColumn("accuracy", F.when(F.col("method") == "camelot", F.col("accuracy") * 100).otherwise(F.col("accuracy")))
+    out = [gated(t, m).groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy")).select(F.lit(m).alias("setting"), "method", "n", "accuracy") for m in METHODS]
+    return union_sources(*out)
+
+
+QUERIES = {f.__name__.removesuffix("_q"): f for f in (table_dedup_best, union_sources_q, table_grid_layout, cell_null_fill, cell_falsy_fill, table_method_gate)}
 SQL = {
     "table_dedup_best": f"with {_T} select page, tbl_ord, method, round(accuracy, 4)::double as accuracy from (select *, row_number() over (partition by page, md5(data::varchar) order by accuracy desc nulls last, tbl_ord, method) as rn from t) where rn = 1",
     "union_sources": f"with {_T} select page, method, count(*) as n from t group by 1, 2",
-    "table_grid_layout": f"""with {_T}, r as (select page, tbl_ord, k, unnest(data) as row_, generate_subscripts(data, 1) - 1 as r from t where method = 'plumber'),
-      c as (select page, tbl_ord, k, r, unnest(row_) as cell, generate_subscripts(row_, 1) - 1 as c from r),
+    "table_grid_layout": f"""with {_T}, r as (select page, tbl_ord, method, k, unnest(data) as row_, generate_subscripts(data, 1) - 1 as r from t),
+      c as (select page, tbl_ord, method, k, r, unnest(row_) as cell, generate_subscripts(row_, 1) - 1 as c from r),
       g as (select *, (100.0 + k % 50)::double * (150 / 72.0::double) / 3 as w, 200.0::double * (150 / 72.0::double) / 2 as h from c)
-      select page, tbl_ord, r, c, cell, round(10.0::double * (150 / 72.0::double) + c * w, 4) as x, round(20.0::double * (150 / 72.0::double) + r * h, 4) as y, round(w, 4) as w, round(h, 4) as h from g""",
+      select page, tbl_ord, method, r, c, cell, round(10.0::double * (150 / 72.0::double) + c * w, 4) as x, round(20.0::double * (150 / 72.0::double) + r * h, 4) as y, round(w, 4) as w, round(h, 4) as h from g""",
     "cell_null_fill": f"with {_T}, c as (select coalesce(unnest(flatten(data)), '') as cell from t) select cell, count(*) as n from c group by 1",
+    "cell_falsy_fill": "select case when o_custkey % 3 = 0 then '' else (o_custkey % 3)::varchar end as n, case when o_orderkey % 2 = 0 then 'True' else '' end as b, case when o_orderkey % 5 > 0 then o_orderstatus else '' end as s, count(*) as rows from orders group by 1, 2, 3",
+    "table_method_gate": f"""with {_T}, u as (select method, accuracy as a from t where method = 'plumber' union all select method, case when accuracy * 100 > 1 then accuracy else accuracy * 100 end from t where method = 'camelot')
+      select setting, method, count(*) as n, round(avg(a), 6)::double as accuracy from u join (values ('pdfplumber', 'plumber'), ('camelot', 'camelot'), ('all', 'plumber'), ('all', 'camelot')) g(setting, m) on m = method group by 1, 2""",
 }
