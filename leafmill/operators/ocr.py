@@ -55,6 +55,13 @@ def confident(boxes: Column | str, least: float = 0.6) -> Column:
     return F.filter(boxes, lambda x: (x["conf"] >= least) & (T.strip(x["text"]) != ""))
 
 
+def percent_words(boxes: Column | str, least: float = 0.6) -> Column:
+    """Word boxes of an engine that gives confidence in percent, -1 for what is no word: such and blank ones dropped, shares instead."""
+    words = F.filter(boxes, lambda x: (x["conf"] >= 0) & (T.strip(x["text"]) != ""))
+    shares = F.transform(words, lambda x: F.struct(x["text"].alias("text"), (x["conf"] / 100).alias("conf"), x["x"].alias("x"), x["y"].alias("y"), x["w"].alias("w"), x["h"].alias("h")))
+    return F.filter(shares, lambda x: x["conf"] >= least)
+
+
 def quad_to_box(xs: Column, ys: Column) -> Column:
     """x, y, w, h of a polygon given by its coordinates."""
     return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
@@ -65,6 +72,11 @@ def results(df: DataFrame) -> DataFrame:
     return df.select(*PAGE, "engine_priority", "engine", "text", "confidence").where(T.strip("text") != "").distinct()
 
 
+def first_boxes(df: DataFrame) -> DataFrame:
+    """(page, word_boxes) of the first result of each page that has text."""
+    return df.where(T.strip("text") != "").groupBy(*PAGE).agg(F.min_by("word_boxes", F.struct("engine_priority", "engine", "text")).alias("word_boxes"))
+
+
 def best(df: DataFrame, by: Column) -> DataFrame:
     """The result with the largest ``by`` of each page, the first in engine order on ties."""
     first = F.min_by(F.struct("engine", "text", "confidence"), F.struct((-by).alias("k"), "engine_priority", "engine", "text"))
@@ -74,7 +86,7 @@ def best(df: DataFrame, by: Column) -> DataFrame:
 def voting(df: DataFrame) -> DataFrame:
     """Per page the most frequent word of each position, the first in engine order on ties; confidence is the mean.
 
-    Words are counted before anything is gathered; what is gathered per page is one word per position.  A page with one result keeps its text.
+    word_boxes, where the results have them, are those of the first result.  Words are counted before anything is gathered; what is gathered per page is one word per position.  A page with one result keeps its text.
     """
     r = results(df)
     pages = r.groupBy(*PAGE).agg(F.avg("confidence").alias("confidence"), F.count("*").alias("n"), F.min_by(F.struct("engine", "text"), F.struct("engine_priority", "engine", "text")).alias("only"))
@@ -83,7 +95,8 @@ def voting(df: DataFrame) -> DataFrame:
     win = counts.groupBy(*PAGE, "pos").agg(F.min_by("w", F.struct((-F.col("c")).alias("c"), "p", "w")).alias("w"))
     text = win.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("text"))
     single = F.col("n") == 1
-    return pages.join(text, list(PAGE)).select(*PAGE, F.when(single, F.col("only.engine")).otherwise("ensemble").alias("engine"), F.when(single, F.col("only.text")).otherwise(F.col("text")).alias("text"), "confidence")
+    got = pages.join(text, list(PAGE)).select(*PAGE, F.when(single, F.col("only.engine")).otherwise("ensemble").alias("engine"), F.when(single, F.col("only.text")).otherwise(F.col("text")).alias("text"), "confidence")
+    return got.join(first_boxes(df), list(PAGE)) if "word_boxes" in df.columns else got
 
 
 # --- queries -------------------------------------------------------------------------------------------------------
@@ -113,7 +126,16 @@ def ensemble_longest(spark, d):
 
 def ensemble_voting(spark, d):
     """The voted text of every page."""
-    return voting(table(spark, d, "ocr_results")).withColumn("confidence", F.round("confidence", 6))
+    got = voting(table(spark, d, "ocr_results"))
+    return got.withColumn("confidence", F.round("confidence", 6)).withColumn("boxes", F.coalesce(F.size("word_boxes"), F.lit(0)).cast("long")).drop("word_boxes")
+
+
+def percent_filter(spark, d):
+    """Kept words of every result as an engine with percentages has them; every seventh word is none."""
+    o = table(spark, d, "ocr_results").select("ocr_id", "word_boxes")
+    raw = F.transform("word_boxes", lambda x, i: F.struct(x["text"].alias("text"), F.when(i % 7 == 6, -1.0).otherwise(x["conf"] * 100).alias("conf"), x["x"].alias("x"), x["y"].alias("y"), x["w"].alias("w"), x["h"].alias("h")))
+    k = percent_words(raw)
+    return o.select("ocr_id", F.size(k).cast("long").alias("n"), F.array_join(F.transform(k, lambda x: x["text"]), " ").alias("words"))
 
 
 def quad_to_box_q(spark, d):
@@ -126,13 +148,15 @@ def quad_to_box_q(spark, d):
     return o.select("ocr_id", F.col("pos").cast("long").alias("pos"), *[F.round(b[n], 4).alias(n) for n in ("x", "y", "w", "h")])
 
 
-QUERIES = {f.__name__.removesuffix("_q"): f for f in (token_confidence_filter, mean_confidence_default, ensemble_confidence, ensemble_longest, ensemble_voting, quad_to_box_q)}
+QUERIES = {f.__name__.removesuffix("_q"): f for f in (token_confidence_filter, percent_filter, mean_confidence_default, ensemble_confidence, ensemble_longest, ensemble_voting, quad_to_box_q)}
 _S = T.sql_strip
 _KEPT = f"list_filter(word_boxes, lambda x: coalesce(x.conf >= 0.6 and {_S('x.text')} <> '', false))"
 _R = f"r as (select distinct doc_id, page_num, engine_priority, engine, text, confidence from ocr_results where {_S('text')} <> '')"
 _BEST = "with " + _R + " select doc_id, page_num, engine, text from (select *, row_number() over (partition by doc_id, page_num order by @ desc, engine_priority, engine, text) as rn from r) where rn = 1"
 SQL = {
     "token_confidence_filter": f"select ocr_id, len({_KEPT}) as n, array_to_string(list_transform({_KEPT}, lambda x: x.text), ' ') as words from ocr_results",
+    "percent_filter": f"""with k as (select ocr_id, list_filter(word_boxes, lambda x, i: coalesce((i - 1) % 7 <> 6 and x.conf * 100 / 100 >= 0.6 and {_S('x.text')} <> '', false)) as k from ocr_results)
+      select ocr_id, len(k) as n, array_to_string(list_transform(k, lambda x: x.text), ' ') as words from k""",
     "mean_confidence_default": f"with k as (select ocr_id, unnest({_KEPT}).conf as c from ocr_results) select o.ocr_id, round(coalesce(avg(c), 0.5), 6) as confidence from (select distinct ocr_id from ocr_results) o left join k on o.ocr_id = k.ocr_id group by 1",
     "ensemble_confidence": _BEST.replace("@", "confidence"),
     "ensemble_longest": _BEST.replace("@", "length(text)"),
@@ -140,7 +164,8 @@ SQL = {
       c as (select doc_id, page_num, pos, w, count(*) as c, min(engine_priority) as p from w group by all),
       v as (select *, row_number() over (partition by doc_id, page_num, pos order by c desc, p, w) as rn from c),
       t as (select doc_id, page_num, string_agg(w, ' ' order by pos) as text from v where rn = 1 group by 1, 2),
-      g as (select doc_id, page_num, avg(confidence) as confidence, count(*) as n, min_by(engine, engine_priority) as engine, min_by(text, engine_priority) as lone from r group by 1, 2)
-      select g.doc_id, g.page_num, case when n = 1 then engine else 'ensemble' end as engine, case when n = 1 then lone else text end as text, round(confidence, 6) as confidence from g join t on g.doc_id = t.doc_id and g.page_num = t.page_num""",
+      g as (select doc_id, page_num, avg(confidence) as confidence, count(*) as n, min_by(engine, engine_priority) as engine, min_by(text, engine_priority) as lone from r group by 1, 2),
+      f as (select doc_id, page_num, word_boxes as boxes from (select *, row_number() over (partition by doc_id, page_num order by engine_priority, engine, text) as rn from ocr_results where {_S('text')} <> '') where rn = 1)
+      select g.doc_id, g.page_num, case when n = 1 then engine else 'ensemble' end as engine, case when n = 1 then lone else text end as text, round(confidence, 6) as confidence, coalesce(len(f.boxes), 0) as boxes from g join t on g.doc_id = t.doc_id and g.page_num = t.page_num join f on g.doc_id = f.doc_id and g.page_num = f.page_num""",
     "quad_to_box": "with k as (select ocr_id, unnest(word_boxes) as k, generate_subscripts(word_boxes, 1) - 1 as pos from ocr_results) select ocr_id, pos, round(k.x, 4) as x, round(k.y, 4) as y, round(k.x + k.w - k.x, 4) as w, round(k.y + k.h - k.y, 4) as h from k",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,85 @@ def delete(log: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return log.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def clear(path: str, spark: SparkSession) -> None:
+    """Removes a log's folder with all that is in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slim(df: DataFrame, heavy: tuple[str, ...] = ("rendered_image", "image_bytes", "data", "content")) -> DataFrame:
+    """``df`` without its heavy columns, those inside arrays of structures included: these keep their place with null."""
+    out = []
+    for f in df.schema.fields:
+        if f.name in heavy and f.dataType.typeName() == "binary":
+            continue
+        inner = getattr(f.dataType, "elementType", None)
+        if inner is not None and inner.typeName() == "struct" and any(x.name in heavy for x in inner.fields):
+            out.append(F.transform(f.name, lambda x, i=inner: F.struct(*[(F.lit(None).cast(y.dataType) if y.name in heavy else x[y.name]).alias(y.name) for y in i.fields])).alias(f.name))
+        else:
+            out.append(C(f.name))
+    return df.select(*out)
+
+
+class Store:
+    """Extractions, runs and page states below one folder.
+
+    Each extraction is a Parquet folder of its own named by its path's hash and moment; the log that points to it is appended
+    last, in one commit, so a writer that fails leaves nothing that is read.  What is heavy is left out (``slim``).
+    """
+
+    EXTRACTIONS = "pdf_path string, created_at timestamp, place string"
+    RUNS = "run_id string, pdf_path string, started_at timestamp, finished_at timestamp, status string, pages_total int, pages_done int"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _log(self, name: str, schema: str) -> DataFrame:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def save(self, pdf_path: str, pages: DataFrame, now: dt.datetime) -> None:
+        """Keeps what was extracted from a file; a later one of the same file replaces it."""
+        place = f"{self.folder}/data/{hashlib.sha256(pdf_path.encode()).hexdigest()[:24]}-{now:%Y%m%dT%H%M%S%f}"
+        slim(pages).write.mode("overwrite").parquet(place)
+        append(self.spark.createDataFrame([(pdf_path, now, place)], self.EXTRACTIONS), f"{self.folder}/extractions")
+
+    def load(self, pdf_path: str, changed: dt.datetime | None = None) -> DataFrame | None:
+        """The newest extraction of a file; None where there is none, or where the file changed after it."""
+        got = latest(self._log("extractions", self.EXTRACTIONS).where(C("pdf_path") == pdf_path), ["pdf_path"], ["created_at"]).first()
+        if got is None or got.place is None or changed is not None and changed > got.created_at:
+            return None
+        return self.spark.read.parquet(got.place)
+
+    def delete(self, pdf_path: str | None = None) -> None:
+        """Forgets one file, or all; what was kept of it is removed."""
+        log = self._log("extractions", self.EXTRACTIONS)
+        if pdf_path is None:
+            clear(f"{self.folder}/extractions", self.spark)
+            clear(f"{self.folder}/data", self.spark)
+            return
+        for r in log.where(C("pdf_path") == pdf_path).collect():  # the extractions of one file
+            clear(r.place, self.spark)
+        append(self.spark.createDataFrame([(pdf_path, dt.datetime.max.replace(year=9000), None)], self.EXTRACTIONS), f"{self.folder}/extractions")
+
+    def start(self, run_id: str, pdf_path: str, now: dt.datetime, pages: int | None = None) -> None:
+        """Enters a run as running."""
+        append(self.spark.createDataFrame([(run_id, pdf_path, now, None, "running", pages, 0)], self.RUNS), f"{self.folder}/runs")
+
+    def finish(self, run_id: str, now: dt.datetime, ok: bool, done: int) -> None:
+        """Enters the end of a run: complete or failed."""
+        r = self.runs().where(C("run_id") == run_id).first()
+        if r is None:
+            raise KeyError(run_id)
+        append(self.spark.createDataFrame([(run_id, r.pdf_path, r.started_at, now, "complete" if ok else "failed", r.pages_total, done)], self.RUNS), f"{self.folder}/runs")
+
+    def runs(self) -> DataFrame:
+        """The newest state of every run."""
+        return latest(self._log("runs", self.RUNS), ["run_id"], ["started_at", "finished_at"]).select("run_id", "pdf_path", "started_at", "finished_at", "status", "pages_total", "pages_done")
+
+
 # --- queries -------------------------------------------------------------------------------------------------------
 
 

@@ -76,6 +76,12 @@ def text_layer(blocks: DataFrame, scale: float) -> DataFrame:
     )
 
 
+def recognised_layer(pages: DataFrame, text: str = "text", size: float = 8.0) -> DataFrame:
+    """What pages without native text get in the searchable layer: their recognised text as one box of ``size`` points from the upper left corner; blank texts give nothing."""
+    rest = [c for c in pages.columns if c != text]
+    return pages.where(T.strip(text) != "").select(*rest, F.lit(0.0).alias("x"), F.lit(size).alias("y"), F.lit(size).alias("size"), F.col(text).alias("text"))
+
+
 # --- queries -------------------------------------------------------------------------------------------------------
 
 
@@ -155,7 +161,14 @@ def text_layer_projection(spark, d):
     return text_layer(t, 150 / 72).select("tb_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("size", 4).alias("size"), F.length("text").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (layout_clean, correction_changes, spell_token_class, fence_strip, json_defaults, text_truncate, word_join, text_spans, text_layer_projection)}
+def recognised_layer_q(spark, d):
+    """The box of every recognised page that has no native text."""
+    native = table(spark, d, "text_blocks").where(T.strip("text") != "").where("source = 'native'").select("doc_id", "page_num").distinct()
+    o = table(spark, d, "ocr_results").select("ocr_id", "doc_id", "page_num", "text").dropDuplicates(["ocr_id"])
+    return recognised_layer(o.join(native, ["doc_id", "page_num"], "left_anti")).select("ocr_id", "x", "y", "size", F.md5("text").alias("text"))
+
+
+QUERIES = {f.__name__.removesuffix("_q"): f for f in (layout_clean, correction_changes, spell_token_class, fence_strip, json_defaults, text_truncate, word_join, text_spans, text_layer_projection, recognised_layer_q)}
 _STRIP = T.sql_strip
 _FENCE = _STRIP(r"regexp_replace(raw_response, '(?m)^```json\s*|```$', '', 'g')")
 _J = "case when ok then coalesce(json_extract_string(j, '$.{0}'), {1}) else {2} end as {3}"
@@ -182,4 +195,5 @@ SQL = {
       round(sum(((l_partkey % 16777216) >> 16 & 255) / 255.0::double), 4) as r, round(sum(((l_partkey % 16777216) >> 8 & 255) / 255.0::double), 4) as g, round(sum((l_partkey % 16777216 & 255) / 255.0::double), 4) as b,
       round(sum(round_even(l_discount * 100 + 9, 2)), 2) as size from lineitem where l_linenumber % 4 = 0 group by 1, 2, 3""",
     "text_layer_projection": f"select tb_id, round(bbox.x0 * (150 / 72.0::double), 4) as x, round(bbox.y1 * (150 / 72.0::double), 4) as y, round(greatest(font_size * (150 / 72.0::double) * 0.9::double, 1.0), 4) as size, length(text) as n from text_blocks where {_STRIP('text')} <> ''",
+    "recognised_layer": f"with n as (select distinct doc_id, page_num from text_blocks where source = 'native' and {_STRIP('text')} <> '') select distinct ocr_id, 0.0::double as x, 8.0::double as y, 8.0::double as size, md5(text) as text from ocr_results o where {_STRIP('text')} <> '' and not exists (select 1 from n where n.doc_id = o.doc_id and n.page_num = o.page_num)",
 }
