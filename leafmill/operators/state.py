@@ -63,6 +63,11 @@ def clear(path: str, spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _without(kind, heavy: tuple[str, ...]):
+    """A structure with its heavy fields null."""
+    return lambda x: F.struct(*[(F.lit(None).cast(f.dataType) if f.name in heavy else x[f.name]).alias(f.name) for f in kind.fields])
+
+
 def slim(df: DataFrame, heavy: tuple[str, ...] = ("rendered_image", "image_bytes", "data", "content")) -> DataFrame:
     """``df`` without its heavy columns, those inside arrays of structures included: these keep their place with null."""
     out = []
@@ -71,7 +76,7 @@ def slim(df: DataFrame, heavy: tuple[str, ...] = ("rendered_image", "image_bytes
             continue
         inner = getattr(f.dataType, "elementType", None)
         if inner is not None and inner.typeName() == "struct" and any(x.name in heavy for x in inner.fields):
-            out.append(F.transform(f.name, lambda x, i=inner: F.struct(*[(F.lit(None).cast(y.dataType) if y.name in heavy else x[y.name]).alias(y.name) for y in i.fields])).alias(f.name))
+            out.append(F.transform(f.name, _without(inner, heavy)).alias(f.name))
         else:
             out.append(C(f.name))
     return df.select(*out)
