@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import sql_strip, strip
 from leafmill.operators.pixels import is_tiny
-from leafmill.session import cut, table
+from leafmill.session import numbered, table
 
 #: Page size in points where a stand-in needs one.
 WIDTH, HEIGHT = 595.0, 842.0
@@ -233,14 +233,9 @@ def output_path_q(spark, d):
 
 
 def listing_order(spark, d):
-    """The files of a batch in order, numbered. The sort partitions by range; numbers are added from partition offsets."""
+    """The files of a batch in order, numbered."""
     files = table(spark, d, "extractions").select("pdf_path").distinct().where("pdf_path like '%.pdf'")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = cut(files.repartitionByRange(parts, "pdf_path").withColumn("_p", F.spark_partition_id()))
-    n = r.groupBy("_p").agg(F.count("*").alias("n"))
-    off = n.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("off"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy("pdf_path"))
-    return r.withColumn("rn", own).join(F.broadcast(off), "_p").select((F.col("off") + F.col("rn") - 1).alias("idx"), "pdf_path")
+    return numbered(files, ["pdf_path"], "idx").select("idx", "pdf_path")
 
 
 QUERIES = {f.__name__.removesuffix("_q"): f for f in (

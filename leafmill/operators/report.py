@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
-from leafmill.session import cut, table
+from leafmill.session import cut, numbered, table
 
 SHEET = ("Process", "Task Name", "Task Date", "Completed On Time")
 
@@ -228,7 +228,7 @@ def status_pivot(spark, d):
 
 def summary_index(spark, d):
     """The flat summary with its index from 0 in order of task."""
-    return flat(task_sheet(spark, d)).select((F.row_number().over(Window.orderBy("Task Name")) - 1).cast("long").alias("idx"), F.col("Task Name").alias("task"))
+    return numbered(flat(task_sheet(spark, d)), ["Task Name"], "idx").select("idx", F.col("Task Name").alias("task"))
 
 
 def summary_lookup_last_wins(spark, d):

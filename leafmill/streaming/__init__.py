@@ -1 +1 @@
-"""Leafmill streaming."""
+"""Files and logs as streams."""
