@@ -42,7 +42,8 @@ def open_json(text: str) -> bool | None:
     after = text[at.start() + 1 :].lstrip()
     if text[at.start()] == "[" and re.match(r"\w+\]", after):
         return None
-    style = '"' if '"' in text[at.start() : at.start() + 40] else "'" if re.match(r"\{\s*'", text[at.start() :]) else '"'
+    first = re.match(r"[{\[\s]*([\"'])", text[at.start() :])
+    style = first.group(1) if first else '"'
     depth, inside, skip = 0, False, False
     for i in range(at.start(), len(text)):
         c = text[i]
@@ -65,15 +66,18 @@ def open_json(text: str) -> bool | None:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of two token lists."""
+    """Length of the longest common subsequence of two token lists, a bit for each token of ``a``."""
     if not a or not b:
         return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def containment(a: list[str], b: list[str], k: int = 3) -> float:
@@ -114,7 +118,7 @@ def is_copy(answer: str, prompt: str | None, page: str | None = None) -> bool:
     return False
 
 
-# Refusal wordings to align with, '...' standing for any words between.
+# Refusal wordings to align with; up to GAP other words may stand between two of theirs.
 REFUSALS = (
     "can't help with|can't help|cannot help|cannot process|can't process|cannot assist|can't assist|am unable to|unable to complete|not able to comply|not able to|"
     "won't be able to|cannot comply|can't comply|have to refuse|must refuse|not possible for me|do not have the ability|don't have the ability|must decline|cannot fulfil|can't provide|"
@@ -122,23 +126,47 @@ REFUSALS = (
     "ist mir nicht möglich|ne peux pas|ne suis pas en mesure|dois refuser|m'est impossible|il m'est impossible|no puedo|no me es posible|no soy capaz|debo rechazar|lamento no poder|"
     "não posso|não consigo ajudar|não me é possível|devo recusar|não sou capaz|nie mogę|nie jestem w stanie|muszę odmówić|не могу|не в состоянии|вынужден отказать|должен отказать"
 ).split("|")
-_REFUSALS = [r.split() for r in REFUSALS]
+# Words by which a speaker speaks of itself, pronouns and verb forms.
+SPEAKER = frozenset("i i'm i'd i'll i've me my we our ich mir mich wir uns je j'ai moi m'est nous puedo me soy debo lamento posso consigo devo sou mogę jestem muszę mnie я могу мне вынужден должен состоянии".split())
+GAP = 2
+_REFUSALS = [(r.split(), frozenset(r.split())) for r in REFUSALS]
+_SENTENCE = re.compile(r"[^.!?。！？;:\n]+")
+
+
+def aligned(template: list[str], own: list[str]) -> bool:
+    """The template's words stand in ``own`` in order, at most GAP other words between two of them."""
+    for start in (i for i, w in enumerate(own) if w == template[0]):
+        ends = {start}
+        for t in template[1:]:
+            ends = {j for e in ends for j in range(e + 1, min(e + 2 + GAP, len(own))) if own[j] == t}
+            if not ends:
+                break
+        if ends:
+            return True
+    return False
+
 
+def is_refusal(answer: str) -> bool:
+    """The answer opens with a refusal: a sentence or clause that aligns with a refusal wording, said of the speaker.
 
-def is_refusal(answer: str, most: int = 45) -> bool:
-    """A short answer whose beginning aligns with a refusal wording, said of the speaker."""
+    What stands before it must be shorter than it and what follows: an apology or thanks, and no answer.  However long the
+    answer is, nothing of it is left out of account.
+    """
     text = bare(answer).replace("’", "'").casefold()
-    if text[:1] in "{[" or "\n- " in text:
-        return False
-    own = re.findall(r"[\w']+", text)
-    if not own or len(own) > most:
+    if text[:1] in "{[":
         return False
-    first = own[:16]
-    for r in _REFUSALS:
-        n = len(r)
-        for i in range(len(first) - n + 1):
-            if first[i : i + n] == r:
+    clauses = [c for c in (re.findall(r"[\w']+", m.group()) for m in _SENTENCE.finditer(text)) if c]
+    before, total = 0, sum(map(len, clauses))
+    said = False
+    for own in clauses:
+        have = set(own)
+        said = said or not SPEAKER.isdisjoint(have)
+        if said and 2 * before < total:
+            if any(words_ <= have and aligned(template, own) for template, words_ in _REFUSALS):
                 return True
+        before += len(own)
+        if 2 * before >= total:
+            return False
     return False
 
 

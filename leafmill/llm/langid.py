@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGS = ("en", "de", "fr", "es", "pt", "ru", "pl", "ja")
-#: Cells of the trigram table, and labelled documents taken per language (those of the smallest hashes of doc_id).
+#: Cells of the trigram table, and labelled documents taken per language, whole, by a share of the range of a hash of doc_id.
 CELLS, SAMPLE = 1 << 15, 300
 _WORD = re.compile(r"[^\W\d_]+")
 _JA = re.compile(r"[ぁ-ヿ一-鿿]")
@@ -41,7 +41,7 @@ def cells(text: str) -> np.ndarray:
 def sample(documents: DataFrame, per: int = SAMPLE) -> DataFrame:
     """Up to ``per`` documents of each language, by hash of doc_id; lang is read without case and region."""
     lang = F.lower(F.substring_index("lang", "-", 1))
-    rows = documents.where("text is not null").select(lang.alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4000).alias("text")).where(F.col("lang").isin(*LANGS))
+    rows = documents.where("text is not null").select(lang.alias("lang"), F.xxhash64("doc_id").alias("h"), "text").where(F.col("lang").isin(*LANGS))
     cut_at = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # the hash is uniform, so the share per/n of its range holds about ``per`` rows of the language
     share = F.broadcast(cut_at.withColumn("share", F.least(F.lit(1.0), F.lit(float(per)) / F.col("n"))).drop("n"))

@@ -23,6 +23,7 @@ _ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "x
 _WORDS = "page pages pag pág página pagina p pg seite s strona str стр страница с folio fol feuille blatt hoja sheet side".split()
 _OF = "of von de z из sur av af".split()
 _PAGENO = re.compile(rf"^[\W_]*(?:(?:{'|'.join(_WORDS)})\b\.?)?[\W_]*(\d+|[ivxlcdm]+)[\W_]*?(?:(?:/|\b(?:{'|'.join(_OF)})\b)\W*\d+)?[\W_]*$", re.I)
+_ORNAMENT = re.compile(r"[\W_]{4,}")
 _SPLIT = re.compile(r"([^\W\d_]+)([-‐‑­¬=~⸗⁃]|‐)[ \t]*$")
 _MARK = frozenset("-‐‑­¬=~⸗⁃")
 _LEAD = re.compile(r"\s*([^\W\d_]+)")
@@ -39,9 +40,11 @@ def roman(n: int) -> str:
 
 def is_pageno(line: str, page_num: int | None) -> bool:
     """The line gives the page's own number (page_num + 1) and nothing else, with or without ornament, word or total."""
-    if page_num is None or len(line) > 40 or page_num < 0:
+    if page_num is None or page_num < 0:
         return False
-    m = _PAGENO.match(unicodedata.normalize("NFKC", line) if not line.isascii() else line)
+    # a run of ornament matches at any length, so a short one stands for it
+    line = _ORNAMENT.sub("   ", unicodedata.normalize("NFKC", line) if not line.isascii() else line)
+    m = _PAGENO.match(line) if len(line) < 200 else None  # a longer one has more in it than a number, words and three short runs
     if not m:
         return False
     got = m.group(1)

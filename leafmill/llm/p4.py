@@ -18,7 +18,7 @@ _VALUE = re.compile(r'"((?:[^"\\]|\\.)*)"(?!\s*:)')
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_table, rec_key, answer, prompt_text, lang (asked for by the prompt's row), task, page; each record once.
+    """src_table, rec_key, answer, prompt_text, lang (asked for by the prompt's row), task, page; repeated records stay.
 
     A null answer counts as empty.  A record without key is left out; one whose prompt is unknown has null there.
     """
@@ -26,7 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     api = (
         table(spark, sf_dir, "api_cache").select(F.lit("api_cache").alias("src_table"), F.col("content_hash").alias("rec_key"), F.col("response").alias("answer"), "prompt_hash")
-        .join(F.broadcast(prompts), "prompt_hash", "left").drop("prompt_hash").withColumn("page", none)
+        .join(prompts, "prompt_hash", "left").drop("prompt_hash").withColumn("page", none)
     )
     dia = table(spark, sf_dir, "diagram_analyses").select(
         F.lit("diagram_analyses").alias("src_table"), F.col("diagram_id").cast("string").alias("rec_key"), F.col("raw_response").alias("answer"),
@@ -36,7 +36,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("corrected_texts").alias("src_table"), F.col("ct_id").cast("string").alias("rec_key"), F.col("corrected").alias("answer"),
         none.alias("prompt_text"), none.alias("lang"), F.lit("correct").alias("task"), F.col("raw_ocr").alias("page"),
     )
-    return api.unionByName(dia).unionByName(cor).where("rec_key is not null").dropDuplicates(["src_table", "rec_key"])
+    return api.unionByName(dia).unionByName(cor).where("rec_key is not null")
 
 
 def _off_language(lm, text: str, want: str | None) -> bool:
@@ -46,8 +46,8 @@ def _off_language(lm, text: str, want: str | None) -> bool:
     return n >= TRIGRAMS and float(s.max() - s[langid.LANGS.index(want)]) > MARGIN
 
 
-def defect(answer: str | None, prompts: list[str], lang: str | None, task: str | None, page: str | None, lm, list_cut: bool = False) -> str | None:
-    """The one defect of an answer, or None: empty, copy, refusal, truncated or language, in this order. list_cut: see p3.with_limits."""
+def defect(answer: str | None, prompts: list[str], lang: str | None, task: str | None, page: str | None, lm) -> str | None:
+    """The one defect of an answer, or None: empty, copy, refusal, truncated or language, in this order. Lists of labels cut at a limit are found in ``judged``."""
     if task == "correct" and answers.is_empty(page) and answers.is_empty(answer):
         return None
     if answers.is_empty(answer):
@@ -67,7 +67,7 @@ def defect(answer: str | None, prompts: list[str], lang: str | None, task: str |
             if want and _off_language(lm, answer, want):
                 return "language"
         return "truncated" if answers.unfinished_page(answer, page) else None
-    if list_cut or answer.endswith("�") or answers.unfinished(answer, listed=task == "labels"):
+    if answer.endswith("�") or answers.unfinished(answer, listed=task == "labels"):
         return "truncated"
     if task == "diagram":
         got = [a or b for a, b in _FIELD.findall(answer)]
@@ -79,7 +79,7 @@ def defect(answer: str | None, prompts: list[str], lang: str | None, task: str |
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pairs`` with the column defect.
+    """src_table, rec_key, task and defect of each record once.
 
     The language model is fitted on about langid.SAMPLE documents a language; the answers themselves are judged whole.
     """
@@ -88,13 +88,16 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lm = spark.sparkContext.broadcast(langid.fit(table(spark, sf_dir, "documents")))
 
     @F.pandas_udf("string")
-    def defect_(answer: pd.Series, prompt: pd.Series, lang: pd.Series, task: pd.Series, page: pd.Series, list_cut: pd.Series) -> pd.Series:
+    def defect_(answer: pd.Series, prompt: pd.Series, lang: pd.Series, task: pd.Series, page: pd.Series) -> pd.Series:
         ok = lambda x: x if isinstance(x, str) else None
-        return pd.Series([defect(ok(a), by_task.get(k) or ([p] if ok(p) else []), ok(n), ok(k), ok(g), lm.value, bool(c)) for a, p, n, k, g, c in zip(answer, prompt, lang, task, page, list_cut)], dtype=object)
-
-    lists = p3.with_limits(spark, sf_dir).where("list_cut").select("src_table", "rec_key", "list_cut")
-    rows = pairs(spark, sf_dir).join(lists, ["src_table", "rec_key"], "left").withColumn("list_cut", F.coalesce("list_cut", F.lit(False)))
-    return rows.withColumn("defect", defect_("answer", "prompt_text", "lang", "task", "page", "list_cut")).drop("list_cut")
+        return pd.Series([defect(ok(a), by_task.get(k) or ([p] if ok(p) else []), ok(n), ok(k), ok(g), lm.value) for a, p, n, k, g in zip(answer, prompt, lang, task, page)], dtype=object)
+
+    verdict = pairs(spark, sf_dir).select("src_table", "rec_key", "task", defect_("answer", "prompt_text", "lang", "task", "page").alias("defect")).dropDuplicates(["src_table", "rec_key"])
+    # a list of labels that a limit cut is truncated, unless it is empty, a copy or a refusal
+    rows = p3.texts(spark, sf_dir)
+    lists = p3.cut_lists(rows, p3.spiked(rows)).withColumn("list_cut", F.lit(True))
+    truncated = F.col("list_cut") & (F.col("task") == "labels") & F.coalesce(~F.col("defect").isin("empty", "copy", "refusal"), F.lit(True))
+    return verdict.join(lists, ["src_table", "rec_key"], "left").withColumn("defect", F.when(truncated, "truncated").otherwise(F.col("defect"))).drop("list_cut")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
