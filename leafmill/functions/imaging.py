@@ -371,6 +371,18 @@ def enhance_render(img: np.ndarray, cfg: Enhancement | None = None) -> np.ndarra
 DECODERS: list[Callable[[bytes], np.ndarray | None]] = []
 
 
+def registered() -> tuple[dict, list]:
+    """Hooks and decoders as they are now, to be taken along to workers."""
+    return dict(HOOKS), list(DECODERS)
+
+
+def register(kept: tuple[dict, list]) -> None:
+    """Sets hooks and decoders as ``registered`` gave them."""
+    HOOKS.clear()
+    HOOKS.update(kept[0])
+    DECODERS[:] = kept[1]
+
+
 def decode(data: bytes | None) -> np.ndarray | None:
     """RGB pixels of an encoded picture, transparency laid over white; None where no decoder reads it."""
     if not data:

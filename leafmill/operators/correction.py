@@ -89,8 +89,10 @@ def analysed(figures: DataFrame, key: str, image: str, cfg: config.Diagram | Non
     cfg = cfg or config.Diagram()
     ask = VISION[0] if VISION and cfg.enable_ai_analysis else None
     kind = figures.schema[key].dataType.simpleString()
+    kept = imaging.registered()
 
     def run(batches):
+        imaging.register(kept)
         for b in batches:
             out = []
             for k, data in zip(b[key], b[image]):

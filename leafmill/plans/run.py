@@ -125,8 +125,11 @@ def rebuild(pages: DataFrame, binary: DataFrame, out_dir: str, cfg: config.Confi
     else:
         rows = rows.withColumn("content", F.lit(None).cast("binary"))
     rows = rows.repartition(parts, "path").sortWithinPartitions("path", F.col("page_num").asc_nulls_last())
+    kept, renderers = imaging.registered(), list(pdf._RENDERER)
 
     def run(batches):
+        imaging.register(kept)
+        pdf._RENDERER[:] = renderers
         now, writer, target, stream, meta, marks, began = None, None, "", None, None, None, time.time()
 
         def end():

@@ -620,6 +620,43 @@ def _arrow_schema():
     return [("path", s), ("page_num", i), ("page_count", i), ("width", d), ("height", d), ("rotation", i), ("spans", pa.list_(span)), ("pictures", pa.list_(pic)), ("metadata", pa.map_(s, s)), ("bookmarks", pa.list_(mark)), ("error", s)]
 
 
+_FIGURE = "path string, page_num int, xref int, x0 double, y0 double, x1 double, y1 double, width int, height int, colorspace string, ext string, data binary"
+
+
+def embedded_pictures(scanned: DataFrame) -> DataFrame:
+    """The pictures drawn on pages (path, page_num, xref, box in points, size, data), each object once a page: where it is drawn first."""
+    p = scanned.select("path", "page_num", F.posexplode("pictures").alias("i", "p"))
+    first = p.groupBy("path", "page_num", "p.xref").agg(F.min_by("p", "i").alias("p"))
+    return first.select("path", "page_num", "p.*")
+
+
+def rendered_pictures(scanned: DataFrame, binary: DataFrame, dpi: int = 300) -> DataFrame:
+    """Parts of rendered pages that look like figures, as ``embedded_pictures`` with xref -1. None where no rasterizer is registered, or none can render the page."""
+    renderers = list(_RENDERER)
+    pages = scanned.where("error is null").select("path", "page_num", "width", "height")
+
+    def run(batches):
+        from leafmill.functions.pixels import png_encode, region_crops
+
+        _RENDERER[:] = renderers
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                img = render(bytes(r.content), int(r.page_num), dpi)
+                for x0, y0, x1, y1, part in region_crops(img, r.width, r.height) if img is not None else []:
+                    out.append((r.path, r.page_num, -1, x0, y0, x1, y1, part.shape[1], part.shape[0], "RGB", "png", png_encode(np.ascontiguousarray(part))))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _FIGURE.split(", ")])
+
+    return pages.join(binary.select("path", "content"), "path").mapInPandas(run, _FIGURE)
+
+
+def all_pictures(scanned: DataFrame, binary: DataFrame, dpi: int = 300) -> DataFrame:
+    """Embedded and rendered pictures together, none left out."""
+    return embedded_pictures(scanned).unionByName(rendered_pictures(scanned, binary, dpi))
+
+
 def documents(scanned: DataFrame) -> DataFrame:
     """path, page_count, metadata (with page_count, is_pdf and needs_pass), bookmarks, fonts (in order of first use), error: a row a file."""
     fonts = scanned.where("error is null").select("path", F.col("page_num"), F.posexplode("spans").alias("i", "s")).where("s.font_name <> ''")

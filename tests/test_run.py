@@ -106,3 +106,17 @@ def test_tables_as_grid():
 ])
 def test_keep_picture(p, render, full, want):
     assert run.keep_picture(p, 10, 10, render, full) is want
+
+
+def test_renders_are_backgrounds_and_repair_pictures(spark, tmp_path, cfg):
+    d = tmp_path / "in"
+    d.mkdir()
+    make(d / "a.pdf", 1)
+    page = np.full((300, 200, 3), 200, np.uint8)
+    pdf.register_renderer(lambda data, n, dpi: page)
+    try:
+        (r,) = run.run_folder(spark, str(d), str(tmp_path / "out"), cfg)
+    finally:
+        pdf._RENDERER.clear()
+    (row,) = pdf.pages_of(open(r["output"], "rb").read(), "p")
+    assert len(row["pictures"]) == 2 and (row["pictures"][0]["width"], row["pictures"][0]["x1"]) == (200, 400)

@@ -141,3 +141,20 @@ def test_sqlite(spark, tmp_path):
     assert rows["x"].page_num is None and rows["x"].score is None and bytes(rows["x"].data_blob) == b"text"
     assert [tuple(r) for r in sqlite.read(spark, p, "keyed").collect()] == [("a", 1)]
     assert sqlite.read(spark, p, "none").count() == 0
+
+
+def test_embedded_and_rendered_pictures(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(make())
+    files = pdf.files(spark, str(tmp_path))
+    scanned = pdf.scan(files)
+    assert pdf.all_pictures(scanned, files).count() == 4
+    page = np.full((842, 595, 3), 255, np.uint8)
+    page[100:200, 50:150] = 0
+    kept = list(pdf._RENDERER)
+    try:
+        pdf._RENDERER[:] = [lambda data, n, dpi: page if n == 1 else None]
+        got = pdf.all_pictures(scanned, files, 72).where("xref = -1").collect()
+    finally:
+        pdf._RENDERER[:] = kept
+    (r,) = got
+    assert (r.page_num, r.x0, r.y0, r.x1, r.y1, r.width, r.height) == (1, 50, 100, 150, 200, 100, 100)
