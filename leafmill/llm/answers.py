@@ -27,7 +27,9 @@ def bare(text: str | None) -> str:
 
 def is_empty(text: str | None) -> bool:
     """Nothing is left without blanks, invisible characters, quotes and fences."""
-    kept = re.sub(r"```\w*|[`\"'“”„‘’«»\s]", "", bare(text))
+    # every other fence opens, and may have a label
+    parts = [re.sub(r"^\w*", "", x) if i % 2 else x for i, x in enumerate(bare(text).split("```"))]
+    kept = re.sub(r"[`\"'“”„‘’«»\s]", "", "".join(parts))
     return not kept
 
 

@@ -106,8 +106,38 @@ def to_column(points: np.ndarray, starts: np.ndarray, null: np.ndarray | None =
     return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(raw), bits, int(null.sum()) if bits else 0).cast(pa.string())
 
 
+# The first and number of leading, vowel and trailing letters of Korean, and the first syllable.
+_L, _V, _T, _S = (0x1100, 19), (0x1161, 21), (0x11A8, 27), 0xAC00
+
+
+def syllables(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Korean letters that follow one another in a row composed to syllables."""
+    if not ((points >= _L[0]) & (points < 0x1200)).any():
+        return points, starts
+    p = np.concatenate([points.astype(np.int64), [0, 0]])
+    first = np.zeros(len(p) + 1, bool)
+    first[starts] = True
+    among = lambda x, r: (x >= r[0]) & (x < r[0] + r[1])
+    n = len(points)
+    a, b, c = p[:n], p[1 : n + 1], p[2 : n + 2]
+    open_ = (a >= _S) & (a < _S + 11172) & ((a - _S) % 28 == 0)
+    pair = among(a, _L) & among(b, _V) & ~first[1 : n + 1]
+    tail = pair & among(c, _T) & ~first[2 : n + 2]
+    late = open_ & among(b, _T) & ~first[1 : n + 1]
+    out = np.where(pair, _S + ((a - _L[0]) * 21 + b - _V[0]) * 28 + np.where(tail, c - _T[0] + 1, 0), np.where(late, a + b - _T[0] + 1, a))
+    gone = np.zeros(n + 2, bool)
+    gone[1 : n + 1] |= pair | late
+    gone[2 : n + 2] |= tail
+    kept = ~gone[:n]
+    return out[kept].astype(np.uint32), np.concatenate([[0], np.cumsum(kept)])[starts]
+
+
 def unify(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The one form of every row, as code points and row starts."""
+    return syllables(*_unify(points, starts))
+
+
+def _unify(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     offset, length, pool, ccc, keys, results = tables()
     n = length[points]
     ends = np.cumsum(n)

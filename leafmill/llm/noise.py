@@ -1,8 +1,9 @@
 """Noise in text from scanned pages (problem 6): the rules for one page.
 
-The lines of a page are labelled header, pageno, body or break by a linear conditional model over layout features,
-decoded by Viterbi.  Lines further than EDGE from either end can only be body or break, so the model is evaluated at the
-ends.  Whether a header line really runs through the document is settled afterwards, over all pages.
+The lines of a page are labelled header, pageno, body or break by a linear conditional model over layout features, fitted
+on the lines at the ends of pages (``fit``) and decoded by Viterbi.  Lines further than EDGE from either end can only be
+body or break, so the model is evaluated at the ends; blank lines and ends of blocks are breaks.  Whether a header line
+really runs through the document is settled afterwards, over all pages.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+
 from leafmill.llm.vocab import SEEN_AS, plain
 
 #: Lines from either end of a page that may be running lines, and the pages of a document on which one must stand.
@@ -243,45 +246,73 @@ def shape(line: str) -> int:
     return 2 if _TABLE.search(line) else 0
 
 
-def header_score(line: str, before: str | None, after: str | None, apart: bool | None, page_num: int | None) -> float:
-    """Log odds of header against body from layout features.
+#: Layout features of a line: log odds of header against body of each, as they are before anything is fitted. The first holds of every line.
+FEATURES = {
+    "any": 0.5, "own block": 2.0, "list item": -6.0, "table row": -6.0, "numbered heading": -2.0, "ends a sentence": -1.5, "begins small after text": -0.5, "longer than 60": -1.5,
+    "nothing before": 0.5, "nothing after": 0.5, "capitals": 1.0, "number beside": 1.0,
+}
+PRIOR = tuple(FEATURES.values())
+#: Spread of the prior over the fitted weights, and the weight of one observed line against it.
+SPREAD = 1.0
+
+
+def features(line: str, before: str | None, after: str | None, apart: bool | None) -> int:
+    """The FEATURES of a line as bits.
 
     before, after: the neighbouring lines ('' for a blank one, None beyond the page).  apart: whether the line has a block of its own, None where blocks are unknown.
     """
     text = line.strip()
-    if apart is False:
-        return -9.0
-    s = 0.5 if apart is None else 2.5
     bare = re.sub(r"^\d+ {2,}| {2,}\d+$", "", text)
     kind = shape(bare)
-    if kind == 1 and not bare.startswith("©"):
-        s -= 6.0
-    if kind == 2:
-        s -= 6.0
-    if kind == 3:
-        s -= 2.0
-    if text[-1:] in ".!?" and not text.endswith(("rev.", "p.")):
-        s -= 1.5
-    if text[:1].islower() and before:
-        s -= 0.5
-    if len(text) > 60:
-        s -= 1.5
-    if before in ("", None):
-        s += 0.5
-    if after in ("", None):
-        s += 0.5
-    if text.isupper():
-        s += 1.0
-    if bare != text:
-        s += 1.0
-    return s
+    on = (
+        True, bool(apart), kind == 1 and not bare.startswith("©"), kind == 2, kind == 3, text[-1:] in ".!?" and not text.endswith(("rev.", "p.")), text[:1].islower() and bool(before), len(text) > 60,
+        before in ("", None), after in ("", None), text.isupper(), bare != text,
+    )
+    return sum(1 << i for i, x in enumerate(on) if x)
+
+
+def score(bits: int, weights: tuple[float, ...] = PRIOR) -> float:
+    """Log odds of header against body of a line with these features."""
+    return sum(w for i, w in enumerate(weights) if bits >> i & 1)
+
+
+def fit(cells: list[tuple[int, int, int]], steps: int = 30) -> tuple[float, ...]:
+    """Weights of the linear model from (bits, lines, lines that run through their document): logistic, a Gaussian about PRIOR.
+
+    The counts are as many as there are different features together, whatever the number of lines.
+    """
+    if not cells:
+        return PRIOR
+    x = np.array([[b >> i & 1 for i in range(len(PRIOR))] for b, _, _ in cells], float)
+    n, k = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (k - n * p) - (w - prior) / SPREAD**2
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / SPREAD**2
+        step = np.linalg.solve(hessian, gradient)
+        w = w + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(float(v) for v in w)
+
+
+def edges(lines: list[str], page_num: int | None) -> list[tuple[str, int]]:
+    """(running key, features) of the first and last EDGE non-empty lines of a page that give no page number; blocks are unknown."""
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    out = []
+    for i in dict.fromkeys(full[:EDGE] + full[-EDGE:]):
+        if not is_pageno(lines[i], page_num):
+            out.append((running_key(lines[i], page_num), features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None)))
+    return out
 
 
 #: Log odds of a running line beside another one, and beside the body.
 STAY, LEAVE = 0.5, -0.5
 
 
-def label(lines: list[str], page_num: int | None, apart: list[bool] | None = None, top: bool = True, bottom: bool = True) -> dict[int, str]:
+def label(lines: list[str], page_num: int | None, apart: list[bool] | None = None, top: bool = True, bottom: bool = True, weights: tuple[float, ...] = PRIOR) -> dict[int, str]:
     """'header' and 'pageno' lines among the first and last EDGE non-empty lines of a page, by index; all others are body or break.
 
     top, bottom: whether the page begins with the first line and ends with the last; only true ends are labelled.
@@ -299,7 +330,8 @@ def label(lines: list[str], page_num: int | None, apart: list[bool] | None = Non
             if own and is_pageno(lines[i], page_num):
                 s, what = 8.0, "pageno"
             else:
-                s = header_score(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None if apart is None else apart[i], page_num)
+                # a line inside a block is none, whatever it looks like
+                s = score(features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None if apart is None else True), weights) if own else -9.0
                 what = "header"
             # states: running (from the end so far, or standing alone beside a heading), body
             run = max(stay + STAY, leave + LEAVE) + s

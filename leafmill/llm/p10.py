@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import table
+from leafmill.session import cut, table
 
 #: Words of a run (characters of a Japanese text), and the share from which a document counts as repetitive.
 RUN, RUN_JA, LIMIT = 8, 16, 0.4
@@ -24,18 +24,22 @@ RUN, RUN_JA, LIMIT = 8, 16, 0.4
 LINE_DOCS, DEPLETED = 3, 0.5
 
 _JA = re.compile(r"[ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿ｦ-ﾟ]")
+_WORD = re.compile(r"[^\W\d_]+")
 _DROP = re.compile(r"[\W\d_]+", re.U)
 
 
 def units(text: str | None) -> tuple[list[str], int]:
-    """The words of a text without case, punctuation and digits, and the run length; characters where most letters are Japanese."""
+    """The words of a text, which are its runs of letters without case, and the run length; characters where most letters are Japanese.
+
+    Punctuation and digits are between words: cells that only a semicolon parts are words of their own.
+    """
     if not text:
         return [], RUN
     if _JA.search(text):
         letters = _DROP.sub("", text).casefold()
         if 2 * len(_JA.findall(letters)) > len(letters):
             return list(letters), RUN_JA
-    return [w for w in (_DROP.sub("", x) for x in text.casefold().split()) if w], RUN
+    return _WORD.findall(text.casefold()), RUN
 
 
 def repeated(text: str | None) -> tuple[int, int]:
@@ -79,25 +83,65 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_share(spark, sf_dir).where(F.col("words") > 0).where(5 * F.col("repeated") >= 2 * F.col("words")).select("doc_id").distinct()
 
 
-def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: characters in its lines, those left without lines that occur in LINE_DOCS documents of its source, and whether it is depleted.
+#: A line in more than one of HOT rows of (document, line) is hot; so there are at most HOT hot lines.
+HOT = 2000
+_EOL = r"\r\n|\r|\n"
+
+
+def _form(line):
+    """A line without case, blanks and digits."""
+    return F.regexp_replace(F.lower(line), r"[\s\d\p{Z}]+", "")
+
 
-    Lines are compared by hash, without case, blanks and digits.  A line counts once per document; counts are pre-aggregated,
-    so a line that fills a third of all documents is one row per task before the shuffle, and only its flag is joined back.
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, often) of (doc_id, source, text): the hash of each line of a document, its characters there, and whether
+    LINE_DOCS documents of the source have it.
+
+    A line counts once per document; counts are pre-aggregated, so a line that a third of all documents have is one row per
+    task before the shuffle.  Its flag comes back by a broadcast of the hot lines, at most HOT, and by a join for the others,
+    of which none fills a task.
     """
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    line = F.regexp_replace(F.lower("line"), r"[\s\d\p{Z}]+", "")
-    lines = (
-        docs.select("doc_id", "source", F.explode(F.split("text", r"\r\n|\r|\n")).alias("line"))
-        .select("doc_id", "source", F.xxhash64(line).alias("h"), F.length(F.trim("line")).alias("n"), (F.length(line) > 0).alias("seen"))
+    lines = cut(
+        docs.select("doc_id", "source", F.explode(F.split("text", _EOL)).alias("line"))
+        .select("doc_id", "source", F.xxhash64(_form("line")).alias("h"), F.length(F.trim("line")).alias("n"), (F.length(_form("line")) > 0).alias("seen"))
         .where("seen").groupBy("source", "doc_id", "h").agg(F.sum("n").alias("n"))
     )
-    often = lines.groupBy("source", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= LINE_DOCS).select("source", "h", F.lit(1).alias("often"))
-    kept = lines.join(often, ["source", "h"], "left").groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum(F.when(F.col("often").isNull(), F.col("n")).otherwise(0)).alias("kept"))
-    return kept.select("doc_id", "chars", "kept", (F.col("kept") < (1 - DEPLETED) * F.col("chars")).alias("depleted"))
+    total = lines.count()
+    often = cut(lines.groupBy("source", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= LINE_DOCS))
+    hot = often.where(F.col("docs") > total / HOT).select("source", "h", F.lit(1).alias("hot"))
+    cold = often.where(F.col("docs") <= total / HOT).select("source", "h", F.lit(1).alias("cold"))
+    flagged = lines.join(F.broadcast(hot), ["source", "h"], "left")
+    rest = flagged.where("hot is null").drop("hot").join(cold, ["source", "h"], "left").select("doc_id", "h", "n", F.col("cold").isNotNull().alias("often"))
+    return rest.unionAll(flagged.where("hot is not null").select("doc_id", "h", "n", F.lit(True).alias("often")))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_share": p10_share, "p10_lines": p10_lines}
+def _depleted(lines: DataFrame, *more) -> DataFrame:
+    kept = lines.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum(F.when(F.col("often"), 0).otherwise(F.col("n"))).alias("kept"), *more)
+    return kept.withColumn("depleted", F.col("kept") < (1 - DEPLETED) * F.col("chars"))
+
+
+def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: characters in its lines, those left without lines that occur in LINE_DOCS documents of its source, and whether it is depleted."""
+    return _depleted(repeated_lines(_docs(spark, sf_dir)))
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur in LINE_DOCS documents of its source, and whether it is rejected as depleted.
+
+    A document without visible lines keeps its text, null as '', and is not rejected.
+    """
+    docs = _docs(spark, sf_dir)
+    gone = _depleted(repeated_lines(docs), F.collect_set(F.when(F.col("often"), F.col("h"))).alias("gone"))
+    rows = docs.select("doc_id", "text").join(gone.select("doc_id", "gone", "depleted"), "doc_id", "left")
+    left = F.filter(F.split("text", _EOL), lambda x: (F.length(_form(x)) == 0) | ~F.array_contains("gone", F.xxhash64(_form(x))))
+    return rows.select("doc_id", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("clean"), F.coalesce("depleted", F.lit(False)).alias("rejected"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_share": p10_share, "p10_lines": p10_lines, "p10_clean": p10_clean}
 
 SQL = {
     "p10_lines": f"""
@@ -112,5 +156,15 @@ r as (
   from d left join often o on d.source = o.source and d.h = o.h group by 1
 )
 select doc_id, chars, kept, kept < {1 - DEPLETED} * chars as depleted from r
+""",
+    "p10_clean": f"""
+with l as (
+  select doc_id, coalesce(source, '') as source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from (select doc_id, source, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') as ls from documents where doc_id is not null)
+), k as (
+  select *, regexp_replace(lower(line), '[\\s\\d\\p{{Z}}\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+', '', 'g') as h, length(trim(line)) as n from l
+), often as (select source, h from k where h <> '' group by all having count(distinct doc_id) >= {LINE_DOCS}),
+f as (select k.*, o.h is not null as often from k left join often o on k.source = o.source and k.h = o.h),
+d as (select doc_id, string_agg(line, chr(10) order by pos) filter (where not often) as clean, bool_or(often) as any_, sum(n) filter (where h <> '') as chars, coalesce(sum(n) filter (where h <> '' and not often), 0) as kept from f group by 1)
+select d.doc_id, case when any_ then coalesce(clean, '') else coalesce(text, '') end as clean, coalesce(kept < {1 - DEPLETED} * chars, false) as rejected from d join documents using (doc_id)
 """,
 }

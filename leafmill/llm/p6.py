@@ -32,12 +32,12 @@ def _seam(lines: list[str]) -> int:
     return full[-noise.EDGE - 1] if len(full) > 2 * noise.EDGE + 2 else 0
 
 
-def _page(src, doc, page, recs, lines, apart, broken, reader, out, start=0, stop=None, top=True, bottom=True, skip=False):
+def _page(src, doc, page, recs, lines, apart, broken, reader, out, start=0, stop=None, top=True, bottom=True, skip=False, weights=noise.PRIOR):
     """Appends the noise of one page, or of its lines from start to stop. recs: the record of each line; apart: own block, None where a record is a page; broken: the lines that end a paragraph before the next.
 
     skip: whether the line before start ends in the first half of a word; the same of the last line is returned.
     """
-    for i, what in noise.label(lines, page, apart, top, bottom).items():
+    for i, what in noise.label(lines, page, apart, top, bottom, weights).items():
         out.append((src, doc, page, recs[i], what, noise.running_key(lines[i], page) if what == "header" else None))
     tally: dict = {}
     last = len(lines) - 1
@@ -62,27 +62,25 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def _rows(held, reader, out, start, stop, top, skip):
+def _rows(held, reader, out, start, stop, top, skip, weights=noise.PRIOR):
     """Appends the noise of the lines of a page, or of a stretch of it, from start to stop; see ``_page``."""
     if not held:
         return False
     doc, page = held[0][:2]
-    if top and stop is None and len(held) < 3 and any("\n" in r[5] for r in held):
-        for r in held:
-            lines = r[5].replace("\r\n", "\n").split("\n")
-            _page("text_blocks", doc, page, [r[4]] * len(lines), lines, None, [False] * len(lines), reader, out)
-        return False
     of = [r[3] for r in held]
     n = len(of)
     apart = [(i == 0 or of[i - 1] != of[i]) and (i == n - 1 or of[i + 1] != of[i]) for i in range(n)]
     broken = [i == n - 1 or of[i + 1] != of[i] for i in range(n)]
-    return _page("text_blocks", doc, page, [r[4] for r in held], [r[5] for r in held], apart, broken, reader, out, start, stop, top, stop is None, skip)
+    return _page("text_blocks", doc, page, [r[4] for r in held], [r[5] for r in held], apart, broken, reader, out, start, stop, top, stop is None, skip, weights)
+
 
+def _stream(batches, reader, most_held=HELD, weights=noise.PRIOR):
+    """The noise of text_blocks sorted by page and line, at most about most_held lines of a page held at once.
 
-def _stream(batches, reader, most_held=HELD):
-    """The noise of text_blocks sorted by page and line, at most about most_held lines of a page held at once."""
+    A row with line breaks is a page of its own, however many of them a page has; the other rows of the page are its lines.
+    """
     held: list = []
-    now = None
+    now = before = None
     # of the page at hand: lines of held that are done, whether its first line is in held, split word before, length at which to look for a seam
     fresh = (0, True, False, most_held)
     done, top, skip, most = fresh
@@ -90,25 +88,53 @@ def _stream(batches, reader, most_held=HELD):
         out: list = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[:2] != now:
-                _rows(held, reader, out, done, None, top, skip)
+                _rows(held, reader, out, done, None, top, skip, weights)
                 held, now = [], row[:2]
                 done, top, skip, most = fresh
             elif len(held) >= most:
                 if at := _seam([r[5] for r in held]):
-                    skip = _rows(held, reader, out, done, at, top, skip)
+                    skip = _rows(held, reader, out, done, at, top, skip, weights)
                     # the line before the seam stays to be looked back at
                     held, done, top, most = held[at - 1 :], 1, False, most_held
                 else:
                     most += most_held
-            if not held or held[-1][4] != row[4]:
+            if row[4] == before:
+                continue
+            before = row[4]
+            if "\n" in row[5]:
+                lines = row[5].replace("\r\n", "\n").split("\n")
+                _page("text_blocks", row[0], row[1], [row[4]] * len(lines), lines, None, [False] * len(lines), reader, out, weights=weights)
+            else:
                 held.append(row)
         yield _batch(out)
     out = []
-    _rows(held, reader, out, done, None, top, skip)
+    _rows(held, reader, out, done, None, top, skip, weights)
     yield _batch(out)
 
 
-def marks(spark: SparkSession, sf_dir: str, counts) -> DataFrame:
+def fitted(spark: SparkSession, sf_dir: str) -> tuple[float, ...]:
+    """Weights of the line model, from the lines at the ends of all pages of ``whole``.
+
+    A line counts as a header where its key stands on noise.PAGES pages of its document in its table.  Pages are read where
+    they lie; only keys and features are shuffled, and counts by features (at most 2^12) reach the driver.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = [(src, doc, page, k, bits) for src, doc, page, _, text in zip(*(c.to_pylist() for c in b.columns)) if doc is not None and page is not None for k, bits in noise.edges(text.replace("\r\n", "\n").split("\n"), page)]
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["src_table", "doc_id", "page_num", "key", "bits"])
+
+    got = whole(spark, sf_dir).mapInArrow(run, "src_table string, doc_id long, page_num int, key string, bits int").withColumn("key", F.xxhash64("key"))
+    line = got.groupBy("src_table", "doc_id", "key", "page_num", "bits").agg(F.count("*").alias("n"))
+    pages = line.select("src_table", "doc_id", "key", "page_num").distinct().groupBy("src_table", "doc_id", "key").agg((F.count("*") >= noise.PAGES).alias("runs"))
+    by_bits = line.groupBy("src_table", "doc_id", "key", "bits").agg(F.sum("n").alias("n")).join(pages, ["src_table", "doc_id", "key"])
+    cells = by_bits.groupBy("bits").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("runs"), F.col("n")).otherwise(0)).alias("k"))
+    return noise.fit(sorted((r.bits, r.n, r.k) for r in cells.collect()))
+
+
+def marks(spark: SparkSession, sf_dir: str, counts, weights: tuple[float, ...] = noise.PRIOR) -> DataFrame:
     """All noise of all records, header lines still as candidates with their key."""
 
     def run_whole(batches):
@@ -117,11 +143,11 @@ def marks(spark: SparkSession, sf_dir: str, counts) -> DataFrame:
             out: list = []
             for src, doc, page, rec, text in zip(*(c.to_pylist() for c in b.columns)):
                 lines = text.replace("\r\n", "\n").split("\n")
-                _page(src, doc, page, [rec] * len(lines), lines, None, [False] * len(lines), reader, out)
+                _page(src, doc, page, [rec] * len(lines), lines, None, [False] * len(lines), reader, out, weights=weights)
             yield _batch(out)
 
     def run_blocks(batches):
-        yield from _stream(batches, noise.Reader(counts.value))
+        yield from _stream(batches, noise.Reader(counts.value), weights=weights)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks(spark, sf_dir).repartition(parts, "doc_id", "page_num").sortWithinPartitions("doc_id", "page_num", "span_ord", "rec_id")
@@ -140,7 +166,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows without doc_id have no document, so no header.
     """
     counts = spark.sparkContext.broadcast(words(spark, sf_dir))
-    found = cut(marks(spark, sf_dir, counts))
+    found = cut(marks(spark, sf_dir, counts, fitted(spark, sf_dir)))
     heads = found.where("noise = 'header' and doc_id is not null and page_num is not null")
     often = heads.select("src_table", "doc_id", "key", "page_num").distinct().groupBy("src_table", "doc_id", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= noise.PAGES)
     return found.where("noise <> 'header'").unionByName(heads.join(often.drop("pages"), ["src_table", "doc_id", "key"]))
@@ -151,14 +177,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy(spark, sf_dir).select("src_table", "rec_id", "noise").distinct()
 
 
-def _clean_page(text, page, keys, reader):
+def _clean_page(text, page, keys, reader, weights=noise.PRIOR):
     """The paragraphs of a text that is a whole page; keys: those of its running lines."""
     lines = text.replace("\r\n", "\n").split("\n")
-    drop = {i for i, what in noise.label(lines, page).items() if what == "pageno" or (keys and noise.running_key(lines[i], page) in keys)}
+    drop = {i for i, what in noise.label(lines, page, weights=weights).items() if what == "pageno" or (keys and noise.running_key(lines[i], page) in keys)}
     return noise.paragraphs(lines, drop, reader)
 
 
-def _clean_blocks(batches, reader, most_held=HELD):
+def _clean_blocks(batches, reader, most_held=HELD, weights=noise.PRIOR):
     """The paragraphs of text_blocks sorted by page and line, each under its first record.
 
     Of a block of more than most_held lines every so many lines are a row of their own, never ended inside a split word.
@@ -174,7 +200,7 @@ def _clean_blocks(batches, reader, most_held=HELD):
             if "\n" in text:
                 _paragraph(held, reader, out)
                 held, now = [], None
-                out.append((rec, _clean_page(text, page, keys, reader)))
+                out.append((rec, _clean_page(text, page, keys, reader, weights)))
                 continue
             if pageno or keys:
                 continue
@@ -206,7 +232,8 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_blocks that holds a whole page stays one; elsewhere the rows of a block are a paragraph, listed under its first row.
     """
     counts = spark.sparkContext.broadcast(words(spark, sf_dir))
-    found = cut(marks(spark, sf_dir, counts).where("noise in ('header', 'pageno')"))
+    weights = fitted(spark, sf_dir)
+    found = cut(marks(spark, sf_dir, counts, weights).where("noise in ('header', 'pageno')"))
     heads = found.where("noise = 'header' and doc_id is not null and page_num is not null")
     often = heads.select("src_table", "doc_id", "key", "page_num").distinct().groupBy("src_table", "doc_id", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= noise.PAGES)
     running = heads.join(often.drop("pages"), ["src_table", "doc_id", "key"]).select("src_table", "rec_id", "key", F.lit(False).alias("pageno"))
@@ -221,11 +248,11 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         reader = noise.Reader(counts.value, marks=True)
         for b in batches:
-            out = [_clean_page(text, page, ks, reader) for _, _, page, text, ks in zip(*(c.to_pylist() for c in b.columns))]
+            out = [_clean_page(text, page, ks, reader, weights) for _, _, page, text, ks in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["src_table", "rec_id", "clean"])
 
     def run_blocks(batches):
-        yield from _clean_blocks(batches, noise.Reader(counts.value))
+        yield from _clean_blocks(batches, noise.Reader(counts.value), weights=weights)
 
     schema = "src_table string, rec_id long, clean string"
     return pages.mapInArrow(run, schema).unionAll(lines.mapInArrow(run_blocks, schema))

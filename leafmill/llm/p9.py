@@ -12,73 +12,86 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import count_column, vocabulary
 from leafmill.session import cut, table
 
-#: Tokens a container holds, and the parts into which the rows of one size are split for ranking.
-CAPACITY, SPLIT = 2048, 32
+#: Tokens a container holds.
+CAPACITY = 2048
 
 
 def reduce_dominated(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Sets of sizes that dominate all alternatives, as (sizes with multiplicity, containers); takes them out of ``hist``.
 
-    From the largest size s down, with r = capacity - s left beside it:
-    nothing fits: s alone; some t = r exactly fills: s with t; only one more can fit: s with the largest t <= r;
-    two can fit, but none of the pairs has more in it than the largest single t <= r: s with t, for t can take the
-    place of any such pair.  The first other case ends the reduction, as later sets may depend on it.
+    For each size s from the largest down, with r = capacity - s left beside it, over all sizes still there:
+    nothing fits: s alone; some t = r exactly fills: s with t, for whatever else fits beside s fits in the place of t; only
+    one more can fit: s with the largest t <= r; two can fit, but none of the pairs has more in it than the largest single
+    t <= r, and no three can: s with t.  A size that none of this decides is passed over, as it stays among the alternatives
+    of the smaller ones; what is fixed may decide it later, so the sizes are gone through until nothing more is fixed.
     """
     fixed: list[tuple[dict[int, int], int]] = []
-    sizes = [int(s) for s in np.flatnonzero(hist)]
-    while sizes:
-        s = sizes[-1]
-        n = int(hist[s])
-        if n == 0:
-            sizes.pop()
-            continue
-        r = capacity - s
-        live = sizes if n > 1 else sizes[:-1]
-        k = bisect_left(live, r + 1) - 1
-        while k >= 0 and hist[live[k]] == 0:
+    again = True
+    while again:
+        again = False
+        sizes = [int(s) for s in np.flatnonzero(hist)]
+        at = len(sizes) - 1
+        while at >= 0:
+            s = sizes[at]
+            got = _dominating(hist, sizes, s, capacity) if hist[s] else None
+            if got is None:
+                at -= 1
+                continue
+            content, count = got
+            fixed.append(got)
+            for x, per in content.items():
+                hist[x] -= per * count
+            again = True
+            at = min(at, len(sizes) - 1)
+        again = again and bool(hist.any())
+    return fixed
+
+
+def _dominating(hist: np.ndarray, sizes: list[int], s: int, capacity: int) -> tuple[dict[int, int], int] | None:
+    """The set that dominates all sets with an item of size s, and how often it can be taken; None where none is found."""
+    n, r = int(hist[s]), capacity - s
+    beside = lambda x: int(hist[x]) - (x == s)
+    if r > 0 and r < len(hist) and beside(r) > 0:
+        t = r
+    else:
+        k = bisect_left(sizes, r + 1) - 1
+        while k >= 0 and beside(sizes[k]) <= 0:
+            k -= 1
+        if k < 0:
+            return {s: 1}, n
+        t = sizes[k]
+        live = [x for x in sizes[: k + 1] if beside(x) > 0]
+        low = live[0]
+        second = low if beside(low) > 1 else live[1] if len(live) > 1 else capacity
+        if low + second <= r:
+            third = low if beside(low) > 2 else second if second != low and beside(second) > 1 else next((x for x in live if x > second), capacity)
+            if low + second + third <= r or _best_pair(live, beside, r) > t:
+                return None
+    if t == s:
+        return ({s: 2}, n // 2) if n > 1 else ({s: 1}, 1)
+    return {s: 1, t: 1}, min(n, int(hist[t]))
+
+
+def _best_pair(live: list[int], beside, r: int) -> int:
+    """The largest sum of two items beside s that fits into r."""
+    best, j = 0, len(live) - 1
+    for i, a in enumerate(live):
+        while j >= 0 and live[j] + a > r:
+            j -= 1
+        k = j
+        if k == i and beside(a) < 2:
             k -= 1
         if k < 0:
-            fixed.append(({s: 1}, n))
-            hist[s] = 0
-            continue
-        t = live[k]
-        low = next(x for x in sizes if hist[x])
-        alone = t == r or 2 * low > r if hist[low] > 1 else t == r or low + next((x for x in sizes if x > low and hist[x]), capacity) > r
-        if not alone:
-            best_pair = 0
-            three = 3 * low <= r
-            j = len(live) - 1
-            for a in live:
-                if not hist[a] or 2 * a > r and a != low:
-                    continue
-                while j >= 0 and (live[j] + a > r or not hist[live[j]]):
-                    j -= 1
-                if j < 0:
-                    break
-                best_pair = max(best_pair, a + live[j])
-            alone = not three and best_pair <= t
-        if not alone:
             break
-        if t == s:
-            m = n // 2
-            if m == 0:
-                fixed.append(({s: 1}, 1))
-                hist[s] = 0
-                continue
-            fixed.append(({s: 2}, m))
-            hist[s] -= 2 * m
-        else:
-            m = min(n, int(hist[t]))
-            fixed.append(({s: 1, t: 1}, m))
-            hist[s] -= m
-            hist[t] -= m
-    return fixed
+        best = max(best, a + live[k])
+    return best
 
 
 def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -154,28 +167,60 @@ def items(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     return got.select(key, "part", F.least(F.lit(capacity).cast("long"), F.col("total") - start).alias("size"), start.alias("start"))
 
 
+_RANKED = "part int, size long, start long, pos long, piece int"
+
+
+def ranked(its: DataFrame, key: str) -> DataFrame:
+    """``its`` with pos, the place of a row among those of its size in its piece of the order (size, key, part), and the piece.
+
+    The rows are partitioned by range of that order, so a size that most of the documents have lies in many pieces.
+    """
+    parts = int(its.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["size", F.col(key).asc_nulls_first(), "part"]
+    rows = its.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("piece", F.spark_partition_id()).select(key, "part", "size", "start", "piece")
+
+    def run(batches):
+        last, seen = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = b.column(2).to_numpy()
+            first = np.concatenate([[True], size[1:] != size[:-1]])
+            place = np.arange(len(size))
+            pos = place - np.maximum.accumulate(np.where(first, place, 0))
+            if size[0] == last:
+                pos[: int(np.argmax(size != last)) if (size != last).any() else len(size)] += seen
+            last, seen = size[-1], int(pos[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(pos, pa.int64()), b.column(4)], names=[key, "part", "size", "start", "pos", "piece"])
+
+    kind = its.schema[key].dataType.simpleString()
+    return cut(rows.mapInArrow(run, f"`{key}` {kind}, {_RANKED}"))
+
+
 def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(key, part, container_id, size, start) for every row of ``sizes`` (key, size).
 
     Rows of size 0 (null and empty documents) need no room and have the null container.  Rows that repeat a key are
-    items of their own.  Null keys are packed like others.  The result is the same for any partitioning.
+    items of their own.  Null keys are packed like others.  The containers' contents in sizes are the same for any partitioning.
     """
-    its = cut(items(sizes, key, capacity).withColumn("b", F.pmod(F.xxhash64(F.col(key), F.col("part")), F.lit(SPLIT)).cast("int")))
-    counts = its.where("size > 0").groupBy("size", "b").agg(F.count("*").alias("n")).toPandas()  # at most capacity x SPLIT rows
-    table_ = np.zeros((capacity + 1, SPLIT), np.int64)
-    np.add.at(table_, (counts["size"].to_numpy(int), counts["b"].to_numpy(int)), counts["n"].to_numpy(int))
-    stretches, _ = plan(table_.sum(axis=1), capacity)
+    its = cut(items(sizes, key, capacity))
+    rows = ranked(its.where("size > 0"), key)
+    counts = rows.groupBy("piece", "size").agg(F.count("*").alias("n")).toPandas().sort_values(["size", "piece"])  # at most capacity + pieces rows
+    c_size, c_piece, c_n = (counts[c].to_numpy(np.int64) for c in ("size", "piece", "n"))
+    hist = np.bincount(c_size, c_n, capacity + 1).astype(np.int64) if len(c_size) else np.zeros(capacity + 1, np.int64)
+    before = np.cumsum(c_n) - c_n - (np.cumsum(hist) - hist)[c_size] if len(c_size) else np.zeros(0, np.int64)
+    stretches, _ = plan(hist, capacity)
     stretches = stretches.sort_values(["size", "lo"], kind="stable")
     s_size, s_lo, s_per, s_first = (stretches[c].to_numpy(np.int64) for c in ("size", "lo", "per", "first"))
     begin, end = np.searchsorted(s_size, np.arange(capacity + 1)), np.searchsorted(s_size, np.arange(capacity + 1), "right")
-    offset = np.concatenate([np.zeros((capacity + 1, 1), np.int64), np.cumsum(table_, axis=1)[:, :-1]], axis=1)
-    shared = sizes.sparkSession.sparkContext.broadcast((s_lo, s_per, s_first, begin, end, offset))
+    wide = int(c_piece.max()) + 1 if len(c_piece) else 1
+    shared = sizes.sparkSession.sparkContext.broadcast((s_lo, s_per, s_first, begin, end, c_size * wide + c_piece, before, wide))
 
     @F.pandas_udf("long")
-    def container(size: pd.Series, b: pd.Series, rank: pd.Series) -> pd.Series:
-        lo, per, first, beg, fin, off = shared.value
-        s, r = size.to_numpy(np.int64), rank.to_numpy(np.int64) - 1
-        r = r + off[s, b.to_numpy(np.int64)]
+    def container(size: pd.Series, piece: pd.Series, pos: pd.Series) -> pd.Series:
+        lo, per, first, beg, fin, keys, off, wide = shared.value
+        s, r = size.to_numpy(np.int64), pos.to_numpy(np.int64)
+        r = r + off[np.searchsorted(keys, s * wide + piece.to_numpy(np.int64))]
         out = np.empty(len(s), np.int64)
         for x in np.unique(s):
             at = np.flatnonzero(s == x)
@@ -183,8 +228,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
             out[at] = first[k] + (r[at] - lo[k]) // per[k]
         return pd.Series(out)
 
-    w = Window.partitionBy("size", "b").orderBy(F.col(key).asc_nulls_first(), "part")
-    full = its.where("size > 0").withColumn("rank", F.row_number().over(w)).select(key, "part", container("size", "b", "rank").alias("container_id"), "size", "start")
+    full = rows.select(key, "part", container("size", "piece", "pos").alias("container_id"), "size", "start")
     void = its.where("size <= 0").select(key, "part", F.lit(None).cast("long").alias("container_id"), "size", "start")
     return full.unionByName(void)
 

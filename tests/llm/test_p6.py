@@ -126,3 +126,39 @@ def test_a_long_block_is_not_ended_inside_a_word(held):
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcdefgh"))
     got = [r["clean"] for b in p6._clean_blocks([batch], noise.Reader(COUNTED), held) for r in b.to_pylist()]
     assert " ".join(got) == "the bearing of the assembly and the winding of the assembly"
+
+
+def test_the_line_model_is_fitted():
+    # headers that end like sentences, which the prior speaks against
+    like = noise.features("Sheet no.", None, "", None)
+    body = noise.features("and goes on to the next line of the paragraph", "x", "y", None)
+    assert noise.score(like) < noise.score(noise.features("Sheet", None, "", None))
+    w = noise.fit([(like, 500, 490), (body, 3000, 10)])
+    assert noise.score(like, w) > 1 and noise.score(body, w) < -1
+    assert noise.fit([]) == noise.PRIOR
+    # with two lines it stays near the prior
+    assert max(abs(a - b) for a, b in zip(noise.fit([(like, 2, 1)]), noise.PRIOR)) < 1
+
+
+@pytest.mark.parametrize("line, page, want", [("- 4 -", 3, True), ("Page 4 of 12", 3, True), ("~" * 60 + " 4 " + "*" * 90, 3, True), ("iv", 3, True), ("5", 3, False), ("Page", 3, False), ("4 pumps", 3, False), ("4", None, False), ("-" * 100_000, 3, False)])
+def test_page_numbers(line, page, want):
+    assert noise.is_pageno(line, page) is want
+
+
+def test_many_whole_pages_under_one_page_number(spark, folder):
+    text = "OPERATING MANUAL\n\nthe bearing of the assem-\nbly and the machine\n\n- 1 -"
+    rows = [(i, 4, 0, i, i, text) for i in range(5)] + [(9, 4, 0, 9, 9, "the winding of the machine")]
+    counts = spark.sparkContext.broadcast(COUNTED)
+    got = [(r.rec_id, r.noise) for r in p6.marks(spark, folder(rows), counts).collect()]
+    assert {i for i, what in got if what == "pageno"} == set(range(5)) == {i for i, what in got if what == "hyphen"}
+
+
+def test_weights_of_a_corpus(spark, folder):
+    ocr = [(d * 10 + p, d, p, f"PUMP MANUAL {chr(65 + d)}\n\nthe bearing of page {chr(97 + p)} and the\nmachine stands\n\n- {p + 1} -") for d in range(5) for p in range(6)]
+    w = p6.fitted(spark, folder([], ocr))
+    head = noise.features("PUMP MANUAL A", None, "", None)
+    assert noise.score(head, w) > 1.5
+
+
+def test_weights_of_no_pages(spark, folder):
+    assert p6.fitted(spark, folder([])) == noise.PRIOR
