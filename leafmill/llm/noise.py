@@ -310,6 +310,8 @@ def edges(lines: list[str], page_num: int | None) -> list[tuple[str, int]]:
 
 #: Log odds of a running line beside another one, and beside the body.
 STAY, LEAVE = 0.5, -0.5
+#: How much worse it is to pass over a running line than to try one in vain, as the pages it stands on are counted afterwards.
+COST = 50.0
 
 
 def label(lines: list[str], page_num: int | None, apart: list[bool] | None = None, top: bool = True, bottom: bool = True, weights: tuple[float, ...] = PRIOR) -> dict[int, str]:
@@ -331,7 +333,7 @@ def label(lines: list[str], page_num: int | None, apart: list[bool] | None = Non
                 s, what = 8.0, "pageno"
             else:
                 # a line inside a block is none, whatever it looks like
-                s = score(features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None if apart is None else True), weights) if own else -9.0
+                s = score(features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None if apart is None else True), weights) + np.log(COST) if own else -9.0
                 what = "header"
             # states: running (from the end so far, or standing alone beside a heading), body
             run = max(stay + STAY, leave + LEAVE) + s
