@@ -8,6 +8,8 @@ really runs through the document is settled afterwards, over all pages.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import unicodedata
 
@@ -225,12 +227,22 @@ class Reader:
         return True
 
 
+_FIRST = re.compile(r"\s*[\W_]*(\d+|[ivxlcdm]+)[\W_]*\s{2,}(?=\S)", re.I)
+_LAST = re.compile(r"(?<=\S)\s{2,}[\W_]*(\d+|[ivxlcdm]+)[\W_]*$", re.I)
+
+
 def running_key(line: str, page_num: int | None) -> str:
     """A running line without the page's number at its ends, blanks, case and the differences that misreading makes."""
     text = unicodedata.normalize("NFKC", line.translate(SEEN_AS)) if not line.isascii() else line
     if page_num is not None:
-        own = f"(?:{page_num + 1}|{roman(page_num + 1) or page_num + 1})"
-        text = re.sub(rf"(?i)^\s*[\W_]*{own}[\W_]*\s{{2,}}(?=\S)|(?<=\S)\s{{2,}}[\W_]*{own}[\W_]*$", "", text)
+        own = str(page_num + 1), roman(page_num + 1)
+        # a fixed pattern and a comparison, as a pattern for each page would be compiled each time
+        first = _FIRST.match(text)
+        if first and first.group(1).lower() in own:
+            text = text[first.end() :]
+        last = _LAST.search(text)
+        if last and last.group(1).lower() in own:
+            text = text[: last.start()]
     key = " ".join(text.split()).casefold()
     for got, was in (("rn", "m"), ("ri", "n"), ("vv", "w"), ("cl", "d"), ("ii", "u")):
         key = key.replace(got, was)
@@ -252,6 +264,7 @@ FEATURES = {
     "nothing before": 0.5, "nothing after": 0.5, "capitals": 1.0, "number beside": 1.0,
 }
 PRIOR = tuple(FEATURES.values())
+_BESIDE = re.compile(r"^\d+ {2,}| {2,}\d+$")
 #: Spread of the prior over the fitted weights, and the weight of one observed line against it.
 SPREAD = 1.0
 
@@ -262,13 +275,32 @@ def features(line: str, before: str | None, after: str | None, apart: bool | Non
     before, after: the neighbouring lines ('' for a blank one, None beyond the page).  apart: whether the line has a block of its own, None where blocks are unknown.
     """
     text = line.strip()
-    bare = re.sub(r"^\d+ {2,}| {2,}\d+$", "", text)
+    bare = _BESIDE.sub("", text) if text[:1].isdigit() or text[-1:].isdigit() else text
     kind = shape(bare)
-    on = (
-        True, bool(apart), kind == 1 and not bare.startswith("©"), kind == 2, kind == 3, text[-1:] in ".!?" and not text.endswith(("rev.", "p.")), text[:1].islower() and bool(before), len(text) > 60,
-        before in ("", None), after in ("", None), text.isupper(), bare != text,
-    )
-    return sum(1 << i for i, x in enumerate(on) if x)
+    bits = 1 | (2 if apart else 0)
+    if kind == 1:
+        bits |= 0 if bare.startswith("©") else 4
+    elif kind:
+        bits |= 8 if kind == 2 else 16
+    if text[-1:] in ".!?" and not text.endswith(("rev.", "p.")):
+        bits |= 32
+    if before and text[:1].islower():
+        bits |= 64
+    if len(text) > 60:
+        bits |= 128
+    if not before:
+        bits |= 256
+    if not after:
+        bits |= 512
+    if text.isupper():
+        bits |= 1024
+    return bits if bare is text or bare == text else bits | 2048
+
+
+@functools.lru_cache(maxsize=8)
+def scores(weights: tuple[float, ...]) -> list[float]:
+    """``score`` of all bits."""
+    return [score(b, weights) for b in range(1 << len(weights))]
 
 
 def score(bits: int, weights: tuple[float, ...] = PRIOR) -> float:
@@ -325,6 +357,7 @@ def label(lines: list[str], page_num: int | None, apart: list[bool] | None = Non
     if not full:
         return out
     ends = (full[:EDGE] if top else [], full[-EDGE:][::-1] if bottom else [])
+    of, bonus = scores(weights), math.log(COST)
     for end in ends:
         stay, leave, back = 0.0, float("-inf"), []
         for i in end:
@@ -333,7 +366,7 @@ def label(lines: list[str], page_num: int | None, apart: list[bool] | None = Non
                 s, what = 8.0, "pageno"
             else:
                 # a line inside a block is none, whatever it looks like
-                s = score(features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, None if apart is None else True), weights) + np.log(COST) if own else -9.0
+                s = bonus + of[features(lines[i], lines[i - 1].strip() if i else None, lines[i + 1].strip() if i + 1 < len(lines) else None, apart is not None)] if own else -9.0
                 what = "header"
             # states: running (from the end so far, or standing alone beside a heading), body
             run = max(stay + STAY, leave + LEAVE) + s

@@ -12,6 +12,8 @@ from leafmill.session import cut, table
 _OUT = "src_table string, doc_id long, page_num int, rec_id long, noise string, key string"
 #: Lines of a page that are held at once; a longer page streams through, its last lines carried over from one stretch to the next.
 HELD = 20_000
+#: Rows of whole pages that the line model is fitted on, about; its labels are made here, so the sample bounds the work only.
+SAMPLE = 20_000
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +115,7 @@ def _stream(batches, reader, most_held=HELD, weights=noise.PRIOR):
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> tuple[float, ...]:
-    """Weights of the line model, from the lines at the ends of all pages of ``whole``.
+    """Weights of the line model, from the lines at the ends of the pages of about SAMPLE rows of ``whole``, whole documents by hash.
 
     A line counts as a header where its key stands on noise.PAGES pages of its document in its table.  Pages are read where
     they lie; only keys and features are shuffled, and counts by features (at most 2^12) reach the driver.
@@ -121,13 +123,16 @@ def fitted(spark: SparkSession, sf_dir: str) -> tuple[float, ...]:
 
     def run(batches):
         for b in batches:
-            out = [(src, doc, page, k, bits) for src, doc, page, _, text in zip(*(c.to_pylist() for c in b.columns)) if doc is not None and page is not None for k, bits in noise.edges(text.replace("\r\n", "\n").split("\n"), page)]
+            out = [(src, doc, page, k, bits) for src, doc, page, _, text in zip(*(c.to_pylist() for c in b.columns)) for k, bits in noise.edges(text.replace("\r\n", "\n").split("\n"), page)]
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["src_table", "doc_id", "page_num", "key", "bits"])
 
-    got = whole(spark, sf_dir).mapInArrow(run, "src_table string, doc_id long, page_num int, key string, bits int").withColumn("key", F.xxhash64("key"))
-    line = got.groupBy("src_table", "doc_id", "key", "page_num", "bits").agg(F.count("*").alias("n"))
+    rows = whole(spark, sf_dir).where("doc_id is not null and page_num is not null")
+    total = rows.count()
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, SAMPLE / max(total, 1))))
+    got = chosen.mapInArrow(run, "src_table string, doc_id long, page_num int, key string, bits int").withColumn("key", F.xxhash64("key"))
+    line = cut(got.groupBy("src_table", "doc_id", "key", "page_num", "bits").agg(F.count("*").alias("n")))
     pages = line.select("src_table", "doc_id", "key", "page_num").distinct().groupBy("src_table", "doc_id", "key").agg((F.count("*") >= noise.PAGES).alias("runs"))
     by_bits = line.groupBy("src_table", "doc_id", "key", "bits").agg(F.sum("n").alias("n")).join(pages, ["src_table", "doc_id", "key"])
     cells = by_bits.groupBy("bits").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("runs"), F.col("n")).otherwise(0)).alias("k"))
