@@ -210,43 +210,80 @@ def png_encode(img: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
+    """The filters of all rows undone; step: bytes a pixel."""
+    h, width = rows.shape[0], rows.shape[1] - 1
+    out = np.zeros((h, width), np.uint8)
+    up = np.zeros(width, np.uint8)
+    for y in range(h):
+        kind, line = int(rows[y, 0]), rows[y, 1:]
+        if kind == 0:
+            now = line
+        elif kind == 1:
+            pad = (-width) % step
+            now = np.cumsum(np.pad(line, (0, pad)).reshape(-1, step), axis=0, dtype=np.uint64).astype(np.uint8).ravel()[:width]
+        elif kind == 2:
+            now = line + up
+        else:
+            # each byte needs the one before it, so these two run byte by byte
+            src, above, got = line.tolist(), up.tolist(), [0] * width
+            for i in range(width):
+                left, corner = (got[i - step], above[i - step]) if i >= step else (0, 0)
+                if kind == 3:
+                    p = (left + above[i]) // 2
+                else:
+                    e = left + above[i] - corner
+                    dl, du, dc = abs(e - left), abs(e - above[i]), abs(e - corner)
+                    p = left if dl <= du and dl <= dc else above[i] if du <= dc else corner
+                got[i] = (src[i] + p) & 255
+            now = np.array(got, np.uint8)
+        out[y] = up = now
+    return out
+
+
 def png_decode(data: bytes) -> np.ndarray | None:
-    """The pixels of an 8-bit grey, RGB or RGBA PNG without interlacing; None for anything else."""
+    """The pixels of a PNG without interlacing, as 8-bit grey, RGB or RGBA; None for anything else.
+
+    Palettes become RGB (RGBA where they have transparency), grey with transparency RGBA; 16-bit samples keep their upper byte,
+    samples of fewer bits are spread over 0..255.
+    """
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         return None
-    at, idat, head = 8, b"", None
+    at, idat, head, palette, clear = 8, [], None, None, b""
     while at + 8 <= len(data):
         n, name = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + n]
         if name == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
         elif name == b"IDAT":
-            idat += body
+            idat.append(body)
+        elif name == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif name == b"tRNS":
+            clear = body
         at += n + 12
-    if head is None or head[2] != 8 or head[3] not in (0, 2, 6) or head[6]:
+    if head is None or head[6] or head[2] not in (1, 2, 4, 8, 16) or head[3] not in (0, 2, 3, 4, 6) or head[3] == 3 and palette is None:
         return None
-    w, h, ch = head[0], head[1], {0: 1, 2: 3, 6: 4}[head[3]]
-    rows = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(h, 1 + w * ch)
-    out = np.zeros((h, w * ch), np.uint8)
-    for y in range(h):
-        kind, line = int(rows[y, 0]), rows[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros(w * ch, np.int64)
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        else:
-            now = np.zeros(w * ch, np.int64)
-            for i in range(w * ch):
-                left, ul = (now[i - ch], up[i - ch]) if i >= ch else (0, 0)
-                if kind == 1:
-                    p = left
-                elif kind == 3:
-                    p = (left + up[i]) // 2
-                else:
-                    e = left + up[i] - ul
-                    d = (abs(e - left), abs(e - up[i]), abs(e - ul))
-                    p = (left, up[i], ul)[d.index(min(d))]
-                now[i] = (line[i] + p) & 255
-            out[y] = now
-    return out.reshape(h, w) if ch == 1 else out.reshape(h, w, ch)
+    w, h, depth, kind = head[:4]
+    ch = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    width = (w * ch * depth + 7) // 8
+    rows = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8)[: h * (1 + width)].reshape(h, 1 + width)
+    raw = _unfilter(rows, max(1, ch * depth // 8))
+    if depth == 16:
+        raw = raw[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(raw, axis=1).reshape(h, -1, depth)
+        raw = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, : w * ch]
+        if kind != 3:
+            raw = (raw.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    if kind == 3:
+        colors = palette
+        if clear:
+            alpha = np.full(len(palette), 255, np.uint8)
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
+            colors = np.concatenate([palette, alpha[:, None]], 1)
+        return colors[np.minimum(raw, len(colors) - 1)]
+    if kind == 0:
+        return raw.copy()
+    out = raw.reshape(h, w, ch)
+    return out[..., [0, 0, 0, 1]] if kind == 4 else out.copy()

@@ -70,21 +70,38 @@ def collinear(a: Column, b: Column, tol: float = 0.05) -> Column:
 
 
 def merge_segments(segs: list[tuple[float, float, float, float]], tol: float = 0.05, near: float = 10.0) -> list[tuple[int, int, int, int]]:
-    """Greedy groups of segments, each around the first one left, as boxes: like direction and midpoints nearer than ``near`` to the seed."""
-    left = [(s, math.atan2(s[3] - s[1], s[2] - s[0]), ((s[0] + s[2]) / 2, (s[1] + s[3]) / 2)) for s in segs]
+    """Greedy groups of segments, each around the first one left, as boxes: like direction and midpoints nearer than ``near`` to the seed.
+
+    Midpoints lie in cells of a grid as wide as ``near``, so a seed looks only into its own cell and the eight around it.
+    """
+    cells: dict[tuple[int, int], list[int]] = {}
+    place = []
+    for i, (x1, y1, x2, y2) in enumerate(segs):
+        mx, my = (x1 + x2) / 2, (y1 + y2) / 2
+        at = math.floor(mx / near), math.floor(my / near)
+        place.append((mx, my, math.atan2(y2 - y1, x2 - x1), at))
+        cells.setdefault(at, []).append(i)
+    taken = [False] * len(segs)
     out = []
-    while left:
-        (seed, a, mid), rest, group = left[0], [], [left[0][0]]
-        for item in left[1:]:
-            s, b, m = item
-            like = abs((a - b + math.pi) % math.pi - math.pi / 2) < tol or abs(a - b) < tol
-            if like and math.hypot(mid[0] - m[0], mid[1] - m[1]) < near:
-                group.append(s)
-            else:
-                rest.append(item)
-        xs, ys = [v for s in group for v in (s[0], s[2])], [v for s in group for v in (s[1], s[3])]
+    for i, (mx, my, a, (gx, gy)) in enumerate(place):
+        if taken[i]:
+            continue
+        group = []
+        for cell in ((gx + dx, gy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+            if cell not in cells:
+                continue
+            left = []
+            for j in cells[cell]:
+                nx, ny, b, _ = place[j]
+                like = abs(a - b) < tol or abs((a - b + math.pi) % math.pi - math.pi / 2) < tol
+                if j == i or like and math.hypot(mx - nx, my - ny) < near:
+                    taken[j] = True
+                    group.append(segs[j])
+                else:
+                    left.append(j)
+            cells[cell] = left
+        xs, ys = [v for s in group for v in s[0::2]], [v for s in group for v in s[1::2]]
         out.append((int(min(xs)), int(min(ys)), int(max(xs)), int(max(ys))))
-        left = rest
     return out
 
 

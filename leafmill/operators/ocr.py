@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.functions.engines import find
 from leafmill.session import table
 
 PAGE = ("doc_id", "page_num")
-#: Engines by name: a function from image bytes to (text, confidence), or None where the engine is not installed.
-ENGINES: dict[str, Callable[[bytes], tuple[str, float]] | None] = {"tesseract": None, "easyocr": None, "paddle": None, "surya": None}
+#: Engines by name that were registered: a function from image bytes to (text, confidence). Others are looked for in functions.engines.
+ENGINES: dict[str, Callable[[bytes], tuple[str, float]]] = {}
 
 
 def register_engine(name: str, run: Callable[[bytes], tuple[str, float]]) -> None:
@@ -26,7 +27,7 @@ def recognise(pages: DataFrame, image: str, engines: list[str]) -> DataFrame:
 
     Unknown and missing engines give nothing; an engine that fails on a page gives nothing for that page.
     """
-    chosen = [(i, n, ENGINES.get(n)) for i, n in enumerate(engines)]
+    chosen = [(i, n, ENGINES.get(n) or find(n)) for i, n in enumerate(engines)]
     kept = [f for f in pages.schema.fields if f.name != image]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", engine_priority int, engine string, text string, confidence double"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.session import table
+from leafmill.session import cut, table
 
 C = F.col
 #: Edits within which a word is looked for.
@@ -84,17 +84,20 @@ def correct(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> Dat
     """key and the text with every looked-up token replaced by its suggestion, joined by single blanks.
 
     Numbers and words in capitals stay; a suggestion is capitalized where the token was.  Null stays null, a blank text is ''.
-    Only tokens that change are joined back, so frequent words, which are dictionary words, meet no row there.  Keys must be unique.
+    Only distinct tokens are looked up, and only words that change are gathered by text; the text itself meets its changes in
+    one join.  Keys must be unique.
     """
-    w = texts.select(key, F.posexplode(T.words(text)).alias("pos", "w")).withColumn("c", T.token_class(C("w")))
-    w = w.withColumn("token", F.when(C("c").isin("plain", "capital"), F.lower("w")))
+    w = texts.select(key, F.posexplode(T.words(text)).alias("pos", "w")).withColumn("c", T.token_class(C("w"))).where(C("c").isin("plain", "capital")).withColumn("token", F.lower("w"))
     # a dictionary word changes only where capitals stand inside it
-    odd = w.where((C("w") != C("token")) & (C("w") != capitalize(C("w")))).select("token").distinct()
-    found = suggestions(w.where("token is not null"), dictionary).select("token", "term")
-    change = found.where("term <> token").unionByName(found.where("term = token").join(odd, "token", "left_semi"))
-    fixed = w.join(change, "token", "left").select(key, "pos", F.when(C("term").isNull(), C("w")).when(C("c") == "capital", capitalize(C("term"))).otherwise(C("term")).alias("w"))
-    lines = fixed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("corrected"))
-    return texts.select(key, text).join(lines, key, "left").select(key, F.when(C(text).isNull(), None).otherwise(F.coalesce("corrected", F.lit(""))).alias("corrected"))
+    odd = (C("w") != C("token")) & (C("w") != capitalize(C("w")))
+    tokens = cut(w.groupBy("token").agg(F.max(odd).alias("odd")))
+    change = cut(suggestions(tokens, dictionary).join(tokens, "token").where((C("term") != C("token")) | C("odd")).select("token", "term"))
+    new = w.join(change, "token").withColumn("n", F.when(C("c") == "capital", capitalize(C("term"))).otherwise(C("term"))).where(C("n") != C("w"))
+    by_text = new.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("_new"))
+    joined = texts.select(key, text).join(by_text, key, "left")
+    old = T.words(text)
+    mixed = F.transform(old, lambda x, i: F.coalesce(F.try_element_at("_new", i), x))
+    return joined.select(key, F.when(C(text).isNull(), None).otherwise(F.array_join(F.when(C("_new").isNull(), old).otherwise(mixed), " ")).alias("corrected"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------------

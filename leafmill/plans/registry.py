@@ -8,7 +8,7 @@ from collections.abc import Callable
 from importlib import import_module
 from pathlib import Path
 
-MODULES = ["ledger", "report", "text", "ocr", "pages", "tables", "geometry", "pixels", "state", "quality", "spelling", "correction"]
+MODULES = ["ledger", "report", "text", "ocr", "pages", "tables", "geometry", "pixels", "state", "quality", "spelling", "correction", "files"]
 ROOT = Path(__file__).resolve().parents[2]
 
 

@@ -380,7 +380,7 @@ def _to_unicode(cmap: bytes) -> tuple[dict[int, str], int]:
     """Text by code, and bytes a code, of a ToUnicode map."""
     out: dict[int, str] = {}
     width = 1
-    as_text = lambda b: bytes(b).decode("utf-16-be", "replace")
+    as_text = lambda b: bytes(b).decode("utf-16-be", "surrogatepass")
     for what, body in re.findall(rb"begin(bfchar|bfrange|codespacerange)(.*?)end", cmap, re.S):
         lex = Lexer(body)
         items = []
@@ -413,7 +413,9 @@ class _Font:
     def read(self, raw: bytes) -> str:
         if self.width == 1:
             return "".join(self.map.get(b) or bytes([b]).decode("cp1252", "replace") for b in raw)
-        return "".join(self.map.get(int.from_bytes(raw[i : i + self.width], "big"), "�") for i in range(0, len(raw), self.width))
+        got = "".join(self.map.get(int.from_bytes(raw[i : i + self.width], "big"), "�") for i in range(0, len(raw), self.width))
+        # characters beyond the first plane come as two codes
+        return got.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _mul(a, b):

@@ -213,3 +213,43 @@ def test_edges_of_a_step():
     a[:, 10:] = 255
     e = K.edges(a)
     assert e[:, 8:12].any(1).all() and not e[:, :7].any() and not e[:, 13:].any()
+
+
+def png(w, h, depth, kind, raw, extra=b""):
+    """A PNG of given scan lines (filter bytes included)."""
+    import struct
+    import zlib
+
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    img = rng.integers(0, 256, (6, 7, 3)).astype(int)
+    raw = b""
+    for y in range(6):
+        line = b""
+        for i in range(21):
+            x, c = divmod(i, 3)
+            a, b = img[y, x - 1, c] if x else 0, img[y - 1, x, c] if y else 0
+            d = img[y - 1, x - 1, c] if x and y else 0
+            e = a + b - d
+            p = (0, a, b, (a + b) // 2, min((a, b, d), key=lambda v: abs(e - v)))[kind]
+            line += bytes([(img[y, x, c] - p) & 255])
+        raw += bytes([kind]) + line
+    assert (K.png_decode(png(7, 6, 8, 2, raw)) == img).all()
+
+
+def test_png_kinds():
+    import struct
+    import zlib
+
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    assert K.png_decode(png(10, 1, 1, 0, b"\0\xaa\x80")).tolist() == [[255, 0, 255, 0, 255, 0, 255, 0, 255, 0]]
+    assert K.png_decode(png(2, 1, 16, 0, b"\0\x12\xff\xab\x00")).tolist() == [[0x12, 0xAB]]
+    assert K.png_decode(png(1, 1, 8, 4, b"\0\x07\x09")).tolist() == [[[7, 7, 7, 9]]]
+    palette = chunk(b"PLTE", bytes([1, 2, 3, 4, 5, 6]))
+    assert K.png_decode(png(2, 1, 4, 3, b"\0\x10", palette)).tolist() == [[[4, 5, 6], [1, 2, 3]]]
+    assert K.png_decode(png(2, 1, 8, 3, b"\0\x01\x00", palette + chunk(b"tRNS", b"\x80"))).tolist() == [[[4, 5, 6, 255], [1, 2, 3, 128]]]
+    assert K.png_decode(png(1, 1, 8, 3, b"\0\0")) is None

@@ -54,6 +54,35 @@ def test_merge_segments_is_around_the_seed():
     assert geometry.merge_segments([]) == []
 
 
+def greedy(segs, tol=0.05, near=10.0):
+    """The rule over all pairs."""
+    import math
+
+    a = [math.atan2(s[3] - s[1], s[2] - s[0]) for s in segs]
+    m = [((s[0] + s[2]) / 2, (s[1] + s[3]) / 2) for s in segs]
+    left, out = list(range(len(segs))), []
+    while left:
+        i = left[0]
+        own = [j for j in left if j == i or (abs((a[i] - a[j] + math.pi) % math.pi - math.pi / 2) < tol or abs(a[i] - a[j]) < tol) and math.dist(m[i], m[j]) < near]
+        left = [j for j in left if j not in own]
+        xs, ys = [v for j in own for v in segs[j][0::2]], [v for j in own for v in segs[j][1::2]]
+        out.append((int(min(xs)), int(min(ys)), int(max(xs)), int(max(ys))))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_merge_segments_against_all_pairs(seed):
+    import random
+
+    rng = random.Random(seed)
+    segs = []
+    for _ in range(200):
+        x, y, n = rng.uniform(-40, 60), rng.uniform(-40, 60), rng.uniform(1, 15)
+        dx, dy = rng.choice(((1, 0), (0, 1), (1, 1), (-1, 0.02)))
+        segs.append((x, y, x + n * dx, y + n * dy))
+    assert geometry.merge_segments(segs) == greedy(segs)
+
+
 def test_voting_keeps_boxes_of_the_first_result(spark):
     box = "array<struct<text:string,conf:double,x:double,y:double,w:double,h:double>>"
     rows = [(1, 0, 1, "b", "x y z", 0.5, [("b", 0.5, 0.0, 0.0, 1.0, 1.0)]), (1, 0, 0, "a", "x q", 0.7, [("a", 0.5, 0.0, 0.0, 1.0, 1.0)]), (1, 0, 2, "c", "x y", 0.9, None), (1, 1, 0, "a", " ", 0.1, None), (2, 0, 1, "b", "one\n two", 0.4, None)]
@@ -101,3 +130,10 @@ def test_keep_best_ties(spark):
     rows = [(1, 2, [["a"]], "x", 0.5), (1, 1, [["a"]], "y", 0.5), (1, 3, [["a"]], "z", None), (1, 4, [["b"]], "z", None)]
     df = spark.createDataFrame(rows, "page int, tbl_ord int, data array<array<string>>, method string, accuracy double")
     assert {(r.tbl_ord, r.method) for r in tables.keep_best(df, ["page"]).collect()} == {(1, "y"), (4, "z")}
+
+
+def test_engines_that_are_missing_or_unknown():
+    from leafmill.functions import engines
+
+    assert all(engines.find(n) is None for n in ("tesseract", "paddleocr", "other"))
+    assert engines.joined([("a", 0.9), (" ", 0.9), ("b", 0.5), ("c", 0.7)]) == ("a c", pytest.approx(0.8)) and engines.joined([]) == ("", 0.5)

@@ -15,7 +15,7 @@ def make(compress=True, pages=3):
     out = io.BytesIO()
     w = pdf.Writer(out, compress)
     for i in range(pages):
-        w.add_page(595, 842, PX if i == 0 else None, [{"x0": 10, "y0": 20, "x1": 110, "y1": 70, "data": png_encode(PX)}], [{"x": 50, "y": 100, "size": 12, "text": f"Grüße {i} — Привет\nzweite"}])
+        w.add_page(595, 842, PX if i == 0 else None, [{"x0": 10, "y0": 20, "x1": 110, "y1": 70, "data": png_encode(PX)}], [{"x": 50, "y": 100, "size": 12, "text": f"Grüße {i} — Привет\nzweite 🙂"}])
     w.close({"title": "Tëst (1)", "author": "x", "producer": "gone", "creator": "other"}, [(1, "One", 1), (2, "Sub", 2), (1, "Zwei ü", 3), (1, "Nowhere", 9)])
     return out.getvalue()
 
@@ -24,7 +24,7 @@ def make(compress=True, pages=3):
 def test_pdf_round_trip(compress):
     rows = list(pdf.pages_of(make(compress), "p"))
     assert [r["page_num"] for r in rows] == [0, 1, 2] and all(r["error"] is None and r["page_count"] == 3 for r in rows)
-    assert [s["text"] for s in rows[1]["spans"]] == ["Grüße 1 — Привет", "zweite"]
+    assert [s["text"] for s in rows[1]["spans"]] == ["Grüße 1 — Привет", "zweite 🙂"]
     assert rows[1]["spans"][0]["y1"] == 100 and rows[1]["spans"][0]["font_size"] == 12
     assert rows[0]["metadata"] == {"title": "Tëst (1)", "author": "x", "creator": "leafmill"}
     assert [(b["level"], b["title"], b["page"]) for b in rows[0]["bookmarks"]] == [(1, "One", 1), (2, "Sub", 2), (1, "Zwei ü", 3), (1, "Nowhere", 0)]
