@@ -11,18 +11,23 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|(?U)\s+\z", "")
 
 
+# The patterns that the cleaned text is defined by, in the order they are applied.
+LAYOUT = ((" +", " "), ("\n{3,}", "\n\n"), ("(?<=[a-z])-\n(?=[a-z])", ""), (r"[^\x09\x0A\x0D\x20-\x7E\x{00A0}-\x{FFFF}]", ""))
+# Fixed value: the fences of a JSON answer.
+FENCE = r"(?mdU)^```json\s*|```$"
+
+
 def layout_clean(c: Column | str) -> Column:
     """Runs of blanks and of line breaks shortened, words split with a hyphen joined, unprintable characters dropped, stripped."""
-    t = F.regexp_replace(c, " +", " ")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, "(?<=[a-z])-\n(?=[a-z])", "")
-    t = F.regexp_replace(t, r"[^\x09\x0A\x0D\x20-\x7E\x{00A0}-\x{FFFF}]", "")
+    t = F.col(c) if isinstance(c, str) else c
+    for pattern, to in LAYOUT:
+        t = F.regexp_replace(t, pattern, to)
     return strip(t)
 
 
 def fence_strip(c: Column | str) -> Column:
     """The text without the markdown fences of a JSON answer, stripped."""
-    return strip(F.regexp_replace(c, r"(?mdU)^```json\s*|```$", ""))
+    return strip(F.regexp_replace(c, FENCE, ""))
 
 
 def words(c: Column | str) -> Column:

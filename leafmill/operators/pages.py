@@ -61,15 +61,20 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
+# Densities and image shares by which a page is classified, and shares of the page by which a block is left to the render.
+TEXT_FROM, TEXT_IMAGES, IMAGE_FROM, IMAGE_TEXT, DIAGRAM_FROM = 0.15, 0.1, 0.5, 0.05, 0.15
+FULL, LARGE = 0.9, 0.6
+
+
 def page_type(density: Column, images: Column, tables: Column) -> Column:
     """text, image, diagram or mixed, by the first rule that holds."""
-    return F.when((density > 0.15) & (images < 0.1), "text").when((images > 0.5) & (density < 0.05), "image").when((images > 0.15) & ~tables, "diagram").otherwise("mixed")
+    return F.when((density > TEXT_FROM) & (images < TEXT_IMAGES), "text").when((images > IMAGE_FROM) & (density < IMAGE_TEXT), "image").when((images > DIAGRAM_FROM) & ~tables, "diagram").otherwise("mixed")
 
 
 def skip_block(from_render: Column, has_render: Column, frac: Column, full_pages: bool) -> Column:
     """Whether an image block is left to the page's background."""
     big = F.lit(not full_pages)
-    return F.when(from_render, True).when(~has_render, False).when(frac > 0.9, big).when((frac > 0.6) & big, True).otherwise(False)
+    return F.when(from_render, True).when(~has_render, False).when(frac > FULL, big).when((frac > LARGE) & big, True).otherwise(False)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

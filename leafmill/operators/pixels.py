@@ -26,15 +26,21 @@ def moments(p: np.ndarray) -> dict:
 MOMENTS = "var double, mean double, max int, min int, std double, colors long"
 
 
+# Limits of the rules on pictures below.
+PHOTO_VAR, PHOTO_COLORS = 500, 256
+DIAGRAM_EDGES, DIAGRAM_STD, PHOTO_STD, PHOTO_EDGES = 0.05, 80, 60, 0.08
+MANY_COLORS, TINY, NEARLY_EMPTY, NEARLY_BLACK, SWAPPED, FEW_MARKS = 2000, 24, 1.0, 6.0, 1.5, 0.0005
+
+
 def is_photo(var: Column, colors: Column) -> Column:
     """At extraction: a large variance or many colours."""
-    return (var > 500) | (colors > 256)
+    return (var > PHOTO_VAR) | (colors > PHOTO_COLORS)
 
 
 def figure_rule(std: Column, edge_density: Column) -> tuple[Column, Column]:
     """(is_diagram, is_photo) before enhancement."""
-    diagram = (edge_density > 0.05) & (std < 80)
-    return diagram, (std > 60) & (edge_density < 0.08) & ~diagram
+    diagram = (edge_density > DIAGRAM_EDGES) & (std < DIAGRAM_STD)
+    return diagram, (std > PHOTO_STD) & (edge_density < PHOTO_EDGES) & ~diagram
 
 
 def encode_format(diagram: Column, photo: Column, colors: Column, webp: bool) -> Column:
@@ -50,27 +56,27 @@ def sniff(data: Column | str, default: str = "png") -> Column:
 
 def is_tiny(w: Column, h: Column, flag: bool = False) -> Column:
     """Whether an image is left out as too small: both sides below 24, where the flag is set."""
-    return F.lit(flag) & (w < 24) & (h < 24)
+    return F.lit(flag) & (w < TINY) & (h < TINY)
 
 
 def accepts_raster(mean: Column, top: Column) -> Column:
     """Whether a raster made from a vector picture is more than nearly empty."""
-    return (top > 1) & (mean > 1.0)
+    return (top > NEARLY_EMPTY) & (mean > NEARLY_EMPTY)
 
 
 def near_black(mean: Column) -> Column:
     """Whether a result is rejected as nearly black."""
-    return mean < 6.0
+    return mean < NEARLY_BLACK
 
 
 def channels_swapped(first: Column, third: Column) -> Column:
     """Whether the first channel outweighs the third by half, so that they are taken for swapped."""
-    return first > third * 1.5
+    return first > third * SWAPPED
 
 
 def too_few_marks(mask_sum: Column, pixels: Column) -> Column:
     """Whether a mark mask (255 each) covers too little to be removed."""
-    return mask_sum < 0.0005 * pixels
+    return mask_sum < FEW_MARKS * pixels
 
 
 def on_pictures(df: DataFrame, keys: list[str], data: str, kernel: Callable[[np.ndarray], dict], schema: str, shape: tuple[int, int] = (SIDE, SIDE)) -> DataFrame:

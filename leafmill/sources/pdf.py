@@ -638,15 +638,18 @@ def rendered_pictures(scanned: DataFrame, binary: DataFrame, dpi: int = 300) ->
     pages = scanned.where("error is null").select("path", "page_num", "width", "height")
 
     def run(batches):
+        import pandas as pd
+
         from leafmill.functions.pixels import png_encode, region_crops
+        from leafmill.sources import pdf
 
-        _RENDERER[:] = renderers
-        import pandas as pd
+        # the module's own list, not the copy that travels with this function
+        pdf._RENDERER[:] = renderers
 
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                img = render(bytes(r.content), int(r.page_num), dpi)
+                img = pdf.render(bytes(r.content), int(r.page_num), dpi)
                 for x0, y0, x1, y1, part in region_crops(img, r.width, r.height) if img is not None else []:
                     out.append((r.path, r.page_num, -1, x0, y0, x1, y1, part.shape[1], part.shape[0], "RGB", "png", png_encode(np.ascontiguousarray(part))))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _FIGURE.split(", ")])
