@@ -374,7 +374,8 @@ def kind(word: str) -> str:
 
 def lettered(counts: dict[int, float]) -> dict[int, float]:
     """The bigrams without those of a letter and a symbol outside ASCII: before the first step these may all be garbled."""
-    letter = {c: c == HIGH or chr(c).isalpha() or unicodedata.combining(chr(c)) > 0 for key in counts for c in divmod(key, HIGH + 1)}
+    # spacing accents are letters by category, and HIGH stands for joined forms too: neither is a letter beside others here
+    letter = {c: c < HIGH and (chr(c).isalpha() and unicodedata.category(chr(c)) != "Lm" or unicodedata.combining(chr(c)) > 0) for key in counts for c in divmod(key, HIGH + 1)}
     return {key: n for key, n in counts.items() if letter[key // (HIGH + 1)] == letter[key % (HIGH + 1)] or key < HIGH + 1 or key % (HIGH + 1) == 0}
 
 
