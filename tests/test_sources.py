@@ -158,3 +158,32 @@ def test_embedded_and_rendered_pictures(spark, tmp_path):
         pdf._RENDERER[:] = kept
     (r,) = got
     assert (r.page_num, r.x0, r.y0, r.x1, r.y1, r.width, r.height) == (1, 50, 100, 150, 200, 100, 100)
+
+
+def test_pdf_code_maps_hold_wide_ranges_by_their_ends():
+    codes, width = pdf._to_unicode(b"begincodespacerange <0000> <FFFF> endcodespacerange beginbfchar <0041> <0058> <0500> <0059> endbfchar beginbfrange <0000> <FFFF> <0000> <0100> <0101> <00660066> endbfrange")
+    assert width == 2 and len(codes) < 256
+    # what comes later in the map wins
+    assert [codes[k] for k in (0x41, 0x500, 0xFF, 0x100, 0x101, 0xFFFF)] == ["A", "Ԁ", "ÿ", "ff", "fg", "￿"]
+    with pytest.raises(ValueError):
+        pdf._to_unicode(b"beginbfrange <0000> <FFFF> <DBFFDFFF> endbfrange")
+
+
+def test_pdf_object_streams_are_decoded_once(monkeypatch):
+    data, read, inner = make(pages=40), [], pdf.Document._stream_at
+    monkeypatch.setattr(pdf.Document, "_stream_at", lambda doc, at: read.append(at) or inner(doc, at))
+    doc = pdf.Document(data)
+    assert len(doc.pages()) == 40 and len(doc.outline()) == 4 and doc.metadata()["author"] == "x"
+    assert len(read) == len(set(read))
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_pdf_texts_keep_every_character(compress):
+    lines = ["(a) \\ b)(", "", "\r\t\\053", "ШЩ⠨屜⤀", "😀﻿￾", "(", "\\"]
+    out = io.BytesIO()
+    w = pdf.Writer(out, compress)
+    w.add_page(595, 842, texts=[{"x": 10, "y": 20, "size": 8, "text": "\n".join(lines)}])
+    w.close()
+    (row,) = pdf.pages_of(out.getvalue(), "p")
+    assert [s["text"] for s in row["spans"]] == [x for x in lines if x]
+    assert [round(s["y1"], 3) for s in row["spans"]] == [round(20 + 9.6 * i, 3) for i, x in enumerate(lines) if x]
